@@ -1,18 +1,25 @@
 """Token ids of whole texts, with a bounded cache of the ids of words.
 
-The tokenizer drops white space and no token crosses it, so the ids of a text are the
-ids of its space-separated pieces, one after another. Each distinct piece goes through
-the tokenizers library; the ids of short pieces are kept for the next time.
+The tokenizer normalises (NFC, white space, lower case), cuts a text into words by a fixed
+pattern and encodes each word for itself; white space is dropped. So the ids of a text are
+the ids of its words, one after another. Texts of Latin characters are cut here by the
+same pattern; others, and those with "<|", which may begin a special token, at spaces
+alone, which no token crosses. Each distinct word goes through the tokenizers library.
 """
 
 from __future__ import annotations
 
 import os
+import re
 from array import array
 
-#: Pieces whose ids a worker keeps, and the longest piece that is kept.
-CACHE_PIECES, CACHE_CHARS = 300_000, 48
-#: So many characters' worth of long pieces are encoded at once.
+#: Words whose ids a worker keeps, and the longest that is kept.
+CACHE_WORDS, CACHE_CHARS = 1_000_000, 48
+#: The tokenizer's own pattern (a fixed value) for lower-case texts without ``OTHER``; letters come first, being the most.
+LETTERS = "a-zªµºß-öø-ɏ"
+WORDS = re.compile(rf"[{LETTERS}]+|'s|'t|'re|'ve|'m|'ll|'d|[0-9]|[^{LETTERS}0-9 \t\n\r]+")
+#: Characters whose class or lower case may differ between libraries, and the start of special tokens.
+OTHER = re.compile("[\x00-\x08\x0b\x0c\x0e-\x1f\x7f-\xa0²³¹¼½¾İ\u0250-\U0010ffff]|<\\|")
 DEFAULT_VOCABULARY = "word_bpe_49k.json"
 
 
@@ -22,6 +29,14 @@ def default_path() -> str:
     return public_tokenizers.path(DEFAULT_VOCABULARY)
 
 
+def words_of(text: str | None) -> list[str]:
+    if not text:
+        return []
+    if OTHER.search(text):
+        return text.replace("\n", " ").split(" ")
+    return WORDS.findall(text.lower())
+
+
 class WordEncoder:
     """``encode(texts)``: for each text its ids as little-endian unsigned 32-bit integers."""
 
@@ -32,30 +47,19 @@ class WordEncoder:
         self.tokenizer = Tokenizer.from_file(path or default_path())
         self.known: dict[str, bytes] = {"": b""}
 
-    def _encode_pieces(self, pieces: list[str]) -> list[bytes]:
-        return [array("I", e.ids).tobytes() for e in self.tokenizer.encode_batch(pieces, add_special_tokens=False)]
-
     def encode(self, texts: list[str | None]) -> list[bytes]:
-        split = [(t or "").replace("\n", " ").split(" ") for t in texts]
-        known = self.known
-        missing = set()
-        for pieces in split:
-            missing.update(pieces)
-        missing.difference_update(known)
-        if missing:
-            missing = list(missing)
-            found = dict(zip(missing, self._encode_pieces(missing)))
-            if len(known) + len(found) > CACHE_PIECES:
-                # those of this batch must stay at hand until it is done
-                for pieces in split:
-                    found.update((p, known[p]) for p in pieces if p in known)
-                known = self.known = {"": b""}
-            known.update(found)
-        out = [b"".join(map(known.__getitem__, pieces)) for pieces in split]
-        if missing:
-            for piece in missing:
-                if len(piece) > CACHE_CHARS:
-                    del known[piece]
+        split = [words_of(t) for t in texts]
+        known, used = self.known, set().union(*split)
+        if len(known) + len(used) > CACHE_WORDS:
+            # start anew, with those of this batch that are at hand
+            known = self.known = {w: known[w] for w in used if w in known} | {"": b""}
+        missing = list(used.difference(known))
+        for word, e in zip(missing, self.tokenizer.encode_batch(missing, add_special_tokens=False)):
+            known[word] = array("I", e.ids).tobytes()
+        out = [b"".join(map(known.__getitem__, words)) for words in split]
+        for word in missing:
+            if len(word) > CACHE_CHARS:
+                del known[word]
         return out
 
 
