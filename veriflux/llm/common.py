@@ -7,6 +7,8 @@ import uuid
 
 from pyspark.sql import DataFrame, SparkSession
 
+from ..session import ship_package
+
 #: Rows in one Arrow batch. Texts can be long, so a batch is kept to a few MB.
 ARROW_ROWS = 256
 
@@ -16,7 +18,8 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
 
 
 def small_batches(spark: SparkSession, rows: int = ARROW_ROWS) -> None:
-    """Bound what one Arrow batch holds, so that long texts fit in a Python worker."""
+    """Bound what one Arrow batch holds, so that long texts fit in a Python worker; let workers import this package."""
+    ship_package(spark)
     spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", str(rows))
 
 
