@@ -15,8 +15,9 @@ substitute a character) of it; the earliest stays. Shorter lines are never compa
    meet where the longer's variant is the shorter itself, of which there is one.
 4. The edit distance of each line and the earlier one it met is verified on their texts.
 
-Every group is combined by partial aggregates and joins with its earliest; no pairs
-within a group are made, and a group may hold any share of all lines.
+Lines that share a half are combined by partial aggregates, and a half may be shared by
+any number of them. A key of step 3 has few lines by its nature: those that differ in the
+deleted character alone. No pairs within a group are made.
 
 Defined cases: null texts stay null; an empty text and blank lines stay; a text all of
 whose lines go becomes empty; rows with a null ``doc_id`` come first; rows that share an
@@ -32,6 +33,8 @@ from pyspark.sql import functions as F
 from .common import checkpointed
 
 MIN_CHARS = 20
+#: Bits of the filter that is broadcast (4 MB), and of one of Spark's bitmaps.
+FILTER_BITS, MAP_BITS = 1 << 25, 1 << 15
 
 
 def _half(base: Column, side: str, body: Column) -> Column:
@@ -54,6 +57,16 @@ def _distinct(lines: DataFrame) -> DataFrame:
     return rows.groupBy("h1", "h2").agg(F.min(F.struct("doc", "line")).alias("first"), F.count(F.lit(1)).alias("times"), F.first("n").alias("n"), F.first("keys").alias("keys"))
 
 
+def _among(rows: DataFrame, wanted: DataFrame) -> DataFrame:
+    """``rows`` whose ``h1`` may be among those of ``wanted``: a filter of ``FILTER_BITS`` bits at most, broadcast whatever its fill, thins out what is shuffled next."""
+    place = lambda h: F.pmod(h, F.lit(FILTER_BITS))
+    bucket, bit = (place(F.col("h1")) / MAP_BITS).cast("int"), place(F.col("h1")) % MAP_BITS
+    maps = wanted.groupBy(bucket.alias("_bucket")).agg(F.bitmap_construct_agg(bit).alias("_map"))
+    byte = F.conv(F.hex(F.expr(f"substring(_map, cast(pmod(h1, {MAP_BITS}) div 8 as int) + 1, 1)")), 16, 10).cast("int")
+    hit = byte.bitwiseAND(F.expr("shiftleft(1, cast(pmod(h1, 8) as int))")) != 0
+    return rows.withColumn("_bucket", bucket).join(F.broadcast(maps), "_bucket").filter(hit).drop("_bucket", "_map")
+
+
 def _near(lines: DataFrame, distinct: DataFrame) -> DataFrame:
     """h1, h2 of the distinct lines that have an earlier one within one edit."""
     halves = distinct.select("h1", "h2", "first", "n", F.explode("keys").alias("k")).select("h1", "h2", "first", "n", "k.kind", "k.key")
@@ -62,8 +75,8 @@ def _near(lines: DataFrame, distinct: DataFrame) -> DataFrame:
     groups = groups.filter("shorts > 1 or (shorts > 0 and longs > 0)")
     met = checkpointed(halves.join(groups, "key").filter("kind < 2 or shorts > 0"))
     wanted = met.select("h1", "h2", "first").distinct()
-    texts = lines.select(F.col("h1").alias("t1"), F.col("h2").alias("t2"), "doc", "line", "body")
-    texts = texts.join(wanted, (F.col("t1") == F.col("h1")) & (F.col("t2") == F.col("h2")) & F.col("doc").eqNullSafe(F.col("first.doc")) & (F.col("line") == F.col("first.line")), "left_semi")
+    texts = _among(lines, wanted).select(F.col("h1").alias("t1"), F.col("h2").alias("t2"), "doc", "line", "body")
+    texts = texts.join(wanted, (F.col("t1") == F.col("h1")) & (F.col("t2") == F.col("h2")) & F.col("doc").eqNullSafe(F.col("first.doc")) & (F.col("line") == F.col("first.line")))
     texts = checkpointed(texts.groupBy(F.col("t1").alias("h1"), F.col("t2").alias("h2")).agg(F.first("body").alias("body")))
 
     rows = met.join(texts, ["h1", "h2"])
@@ -78,7 +91,7 @@ def _near(lines: DataFrame, distinct: DataFrame) -> DataFrame:
     none = F.array().cast("array<bigint>")
     me = F.struct("first", "h1", "h2")
     variants = rows.select(me.alias("me"), "longer", F.explode(F.concat(F.transform(F.coalesce(same, none), lambda k: F.struct(k.alias("k"), F.lit(False).alias("cut"))), F.transform(F.array_distinct(F.coalesce(cut, none)), lambda k: F.struct(k.alias("k"), F.lit(True).alias("cut"))))).alias("v"))
-    variants = variants.select("me", "longer", F.col("v.k").alias("k"), F.col("v.cut").alias("cut"))
+    variants = variants.select("me", "longer", F.col("v.k").alias("k"), F.col("v.cut").alias("cut")).repartition("k")
     least = variants.groupBy("k").agg(F.min(F.when(~F.col("longer"), F.col("me"))).alias("short"), F.min(F.when(F.col("longer"), F.col("me"))).alias("long"), F.count(F.lit(1)).alias("members")).filter("members > 1")
     met = variants.join(least, "k")
     other = F.when(F.col("cut") & ~F.col("longer"), F.col("long")).otherwise(F.col("short"))
