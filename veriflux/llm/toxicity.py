@@ -131,7 +131,7 @@ def fit(docs: DataFrame, labels: DataFrame, *, max_labelled: int = MAX_LABELLED,
             return Model()
         n1, n0 = float(totals.toxic), float(totals.clean)
         rate = (F.col("toxic") + F.col("clean")) / (n1 + n0)
-        z = (F.col("toxic") / n1 - F.col("clean") / n0) / F.sqrt(rate * (1 - rate) * (1 / n1 + 1 / n0))
+        z = F.try_divide(F.col("toxic") / n1 - F.col("clean") / n0, F.sqrt(rate * (1 - rate) * (1 / n1 + 1 / n0)))  # null: in every document
         best = counts.filter("feature >= 0 and toxic >= 3").withColumn("z", F.round(z, 9)).filter("z > 3").orderBy(F.desc("z"), "feature").limit(max_features).collect()
     finally:
         counts.unpersist()
