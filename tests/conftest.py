@@ -1,8 +1,13 @@
+import os
 import sys
 from pathlib import Path
 
-import pytest
-from pyspark.sql import SparkSession
+# small matrices on many threads wait for each other, beside Spark's own threads
+for _name in ("OMP_NUM_THREADS", "OPENBLAS_NUM_THREADS"):
+    os.environ.setdefault(_name, "1")
+
+import pytest  # noqa: E402
+from pyspark.sql import SparkSession  # noqa: E402
 
 ROOT = Path(__file__).resolve().parents[1]
 sys.path.insert(0, str(ROOT))
