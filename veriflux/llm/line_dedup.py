@@ -107,6 +107,7 @@ def dropped_lines(docs: DataFrame, min_chars: int = MIN_CHARS) -> DataFrame:
     distinct = checkpointed(_distinct(lines))
     near = checkpointed(_near(lines, distinct)).withColumn("near", F.lit(True))
     marked = distinct.select("h1", "h2", "first", "times").join(near, ["h1", "h2"], "left").filter("times > 1 or near")
+    marked = checkpointed(marked)  # read anew, it is dealt out for the join, and Spark can split a line's many copies
     at = lines.select("doc", "line", "h1", "h2").join(marked, ["h1", "h2"])
     later = F.struct("doc", "line") > F.col("first")
     return at.filter(F.col("near") | later).select("doc", "line", F.when(F.col("near"), "near").otherwise("copy").alias("kind"))
