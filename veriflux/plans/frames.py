@@ -88,9 +88,14 @@ def bank(spark: SparkSession, sf_dir: str) -> DataFrame:
     return table(spark, sf_dir, "embeddings").select("vec_id", "embedding", "label")
 
 
-def queries_of(bank: DataFrame, every: int = 25) -> DataFrame:
-    """The query set: vectors whose id is divisible by ``every``."""
-    return bank.filter(F.col("vec_id") % every == 0).select("vec_id", "embedding")
+def queries_of(bank: DataFrame) -> DataFrame:
+    """The query set: vectors whose id is divisible by 20."""
+    return bank.filter(F.col("vec_id") % 20 == 0).select("vec_id", "embedding")
+
+
+def one_query(bank: DataFrame) -> DataFrame:
+    """The vector 0, for operators that search for one vector."""
+    return bank.filter("vec_id = 0").select("vec_id", "embedding")
 
 
 TYPES = ("region", "nation", "customer", "supplier", "orders", "part")

@@ -19,9 +19,9 @@ def _starts(spark, sf_dir, condition):
     return S.nodes(spark, sf_dir).filter(condition).select("id")
 
 
-@query(_walk_sql("type = 'orders' AND id % 50 = 0", "'CONTAINS', 'PLACED_BY', 'IN_NATION', 'IN_REGION'", 3, "source_id", "target_id"))
+@query(_walk_sql("type = 'orders'", "'CONTAINS', 'PLACED_BY', 'IN_NATION', 'IN_REGION'", 3, "source_id", "target_id"))
 def g8_traverse_bfs(spark, sf_dir):
-    return G.traverse(S.nodes(spark, sf_dir), S.edges(spark, sf_dir), _starts(spark, sf_dir, "type = 'orders' and id % 50 = 0"), None, 3)
+    return G.traverse(S.nodes(spark, sf_dir), S.edges(spark, sf_dir), _starts(spark, sf_dir, "type = 'orders'"), None, 3)
 
 
 @query(_walk_sql("type = 'nation' AND name LIKE '%1%'", "'IN_NATION'", 3, "target_id", "source_id"))

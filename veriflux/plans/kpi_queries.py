@@ -146,7 +146,7 @@ default: {type: leaf, label: OK}
 """
 
 
-@query(f"""WITH {nearest_sql(1, 1)}, f AS (SELECT e.label, round(f.d2, 6) / 2 AS score FROM found f JOIN embeddings e ON e.vec_id = f.query_id), v AS (
+@query(f"""WITH {nearest_sql(1, of='TRUE')}, f AS (SELECT e.label, round(f.d2, 6) / 2 AS score FROM found f JOIN embeddings e ON e.vec_id = f.query_id), v AS (
   SELECT label, CASE WHEN score > 0.55 THEN CASE WHEN 1 / (1 + exp(-(10.0 * score - 5.5))) > 0.7 THEN 'NG' WHEN 1 / (1 + exp(-(10.0 * score - 5.5))) > 0.3 THEN 'WARN' ELSE 'OK' END ELSE 'OK' END AS verdict,
     score > 0.6 AS far, score > 0.5 AND NOT score > 0.6 AS near_far FROM f
 ) SELECT label, {COUNTS}, count(*) FILTER (far) AS far, count(*) FILTER (near_far) AS "offset" FROM v GROUP BY 1""")

@@ -15,35 +15,35 @@ def d2_sql(a: str, b: str) -> str:
     return f"list_sum([(CAST(z[1] AS DOUBLE) - CAST(z[2] AS DOUBLE)) * (CAST(z[1] AS DOUBLE) - CAST(z[2] AS DOUBLE)) FOR z IN list_zip({a}, {b})])"
 
 
-def nearest_sql(every: int, k: int, where: str = "TRUE", name: str = "found") -> str:
+def nearest_sql(k: int, where: str = "TRUE", of: str = "q.vec_id % 20 = 0", name: str = "found") -> str:
     return f"""{name} AS (
   SELECT * FROM (
     SELECT q.vec_id AS query_id, b.vec_id, {d2_sql('q.embedding', 'b.embedding')} AS d2,
       row_number() OVER (PARTITION BY q.vec_id ORDER BY {d2_sql('q.embedding', 'b.embedding')}, b.vec_id) AS rank
-    FROM embeddings q JOIN embeddings b ON q.vec_id <> b.vec_id AND {where} WHERE q.vec_id % {every} = 0
+    FROM embeddings q JOIN embeddings b ON q.vec_id <> b.vec_id AND {where} WHERE {of}
   ) WHERE rank <= {k}
 )"""
 
 
-@query(f"WITH {nearest_sql(25, 5)} SELECT query_id, vec_id, CAST(rank AS INTEGER) AS rank, round(d2, 6) AS d2 FROM found")
+@query(f"WITH {nearest_sql(5)} SELECT query_id, vec_id, CAST(rank AS INTEGER) AS rank, round(d2, 6) AS d2 FROM found")
 def r1_knn_topk(spark, sf_dir):
     bank = S.bank(spark, sf_dir)
     return K.knn(S.queries_of(bank), bank, 5, exclude_self=True).withColumn("d2", F.round("d2", 6))
 
 
-@query(f"WITH {nearest_sql(1000000, 10)} SELECT vec_id, round(d2, 6) AS d2 FROM found")
+@query(f"WITH {nearest_sql(10, of='q.vec_id = 0')} SELECT vec_id, round(d2, 6) AS d2 FROM found")
 def r2_single_topk(spark, sf_dir):
     bank = S.bank(spark, sf_dir)
-    return K.knn(S.queries_of(bank, 1_000_000), bank, 10, exclude_self=True).select("vec_id", F.round("d2", 6).alias("d2"))
+    return K.knn(S.one_query(bank), bank, 10, exclude_self=True).select("vec_id", F.round("d2", 6).alias("d2"))
 
 
-@query(f"SELECT q.vec_id AS query_id, b.vec_id, round({d2_sql('q.embedding', 'b.embedding')}, 6) AS d2 FROM embeddings q JOIN embeddings b ON q.vec_id <> b.vec_id WHERE q.vec_id % 25 = 0 AND {d2_sql('q.embedding', 'b.embedding')} < 1.5")
+@query(f"SELECT q.vec_id AS query_id, b.vec_id, round({d2_sql('q.embedding', 'b.embedding')}, 6) AS d2 FROM embeddings q JOIN embeddings b ON q.vec_id <> b.vec_id WHERE q.vec_id % 20 = 0 AND {d2_sql('q.embedding', 'b.embedding')} < 1.5")
 def r3_range_search(spark, sf_dir):
     bank = S.bank(spark, sf_dir)
     return K.range_search(S.queries_of(bank), bank, 1.5, exclude_self=True).withColumn("d2", F.round("d2", 6))
 
 
-@query(f"WITH {nearest_sql(25, 5, 'b.label = 3')} SELECT query_id, vec_id, CAST(rank AS INTEGER) AS rank, round(d2, 6) AS d2 FROM found")
+@query(f"WITH {nearest_sql(5, 'b.label = 3')} SELECT query_id, vec_id, CAST(rank AS INTEGER) AS rank, round(d2, 6) AS d2 FROM found")
 def r4_knn_filtered(spark, sf_dir):
     bank = S.bank(spark, sf_dir)
     return K.knn(S.queries_of(bank), bank, 5, exclude_self=True, subset=bank.filter("label = 3")).withColumn("d2", F.round("d2", 6))
@@ -77,11 +77,11 @@ def r6_metadata_filter(spark, sf_dir):
 
 def _vector_hits(spark, sf_dir, k=40):
     bank = S.bank(spark, sf_dir)
-    found = K.knn(S.queries_of(bank, 1_000_000), bank, k, exclude_self=True)
+    found = K.knn(S.one_query(bank), bank, k, exclude_self=True)
     return found.select(F.col("vec_id").alias("node_id"), F.round("d2", 9).alias("distance"))
 
 
-HITS_SQL = f"{nearest_sql(1000000, 40)}, vec AS (SELECT vec_id AS node_id, round(d2, 9) AS distance FROM found)"
+HITS_SQL = f"{nearest_sql(40, of='q.vec_id = 0')}, vec AS (SELECT vec_id AS node_id, round(d2, 9) AS distance FROM found)"
 
 
 @query(f"""WITH {META_SQL}, {HITS_SQL}, top AS (SELECT greatest(1.0, max(distance)) AS t FROM vec)
@@ -108,15 +108,15 @@ SELECT m.node_id, round(coalesce(0.5 * (1 - distance / (t + 1e-6)), 0) + 0.5 * m
 def r9_hybrid(spark, sf_dir):
     bank = S.bank(spark, sf_dir)
     bridge = bank.select("vec_id", (F.col("vec_id") * 3).alias("node_id"))
-    out = R.hybrid(S.queries_of(bank, 1_000_000), bank, bridge, _event_nodes(spark, sf_dir), k=10, filters=FILTERS, types=["click", "error"])
+    out = R.hybrid(S.one_query(bank), bank, bridge, _event_nodes(spark, sf_dir), k=10, filters=FILTERS, types=["click", "error"])
     return out.select("node_id", F.round("fused", 6).alias("fused"))
 
 
-@query(f"""WITH {nearest_sql(50, 3)} SELECT query_id, CAST(count(*) AS INTEGER) AS retrieval_count, CAST(max(CASE WHEN rank = 1 THEN vec_id END) AS BIGINT) AS top0_index, round(max(CASE WHEN rank = 1 THEN d2 END), 6) AS top0_distance,
+@query(f"""WITH {nearest_sql(3)} SELECT query_id, CAST(count(*) AS INTEGER) AS retrieval_count, CAST(max(CASE WHEN rank = 1 THEN vec_id END) AS BIGINT) AS top0_index, round(max(CASE WHEN rank = 1 THEN d2 END), 6) AS top0_distance,
  CAST(max(CASE WHEN rank = 2 THEN vec_id END) AS BIGINT) AS top1_index, round(max(CASE WHEN rank = 2 THEN d2 END), 6) AS top1_distance FROM found GROUP BY 1""")
 def r10_retrieval_facts(spark, sf_dir):
     bank = S.bank(spark, sf_dir)
-    found = K.knn(S.queries_of(bank, 50), bank, 3, exclude_self=True)
+    found = K.knn(S.queries_of(bank), bank, 3, exclude_self=True)
     pick = lambda r, c: F.max(F.when(F.col("rank") == r, F.col(c)))
     return found.groupBy("query_id").agg(F.count(F.lit(1)).cast("int").alias("retrieval_count"), pick(1, "vec_id").alias("top0_index"), F.round(pick(1, "d2"), 6).alias("top0_distance"), pick(2, "vec_id").alias("top1_index"), F.round(pick(2, "d2"), 6).alias("top1_distance"))
 

@@ -71,7 +71,7 @@ def _kth(spark, sf_dir, k=2):
     return V.kth_distances(S.bank(spark, sf_dir), k).withColumn("d2", F.round("d2", 9))
 
 
-KTH_SQL = nearest_sql(1, 2) + ", kth AS (SELECT query_id AS vec_id, round(max(d2), 9) AS d2 FROM found GROUP BY 1), s AS (SELECT d2, row_number() OVER (ORDER BY d2) - 1 AS i, count(*) OVER () AS n FROM kth)"
+KTH_SQL = nearest_sql(2, of='TRUE') + ", kth AS (SELECT query_id AS vec_id, round(max(d2), 9) AS d2 FROM found GROUP BY 1), s AS (SELECT d2, row_number() OVER (ORDER BY d2) - 1 AS i, count(*) OVER () AS n FROM kth)"
 
 
 @query(f"WITH {KTH_SQL} SELECT round(max(CASE WHEN i = floor(0.99 * (n - 1) + 1e-9) THEN d2 END), 6) AS threshold, round(max(d2), 6) AS reference, round(max(CASE WHEN i = floor(0.99 * (n - 1) + 1e-9) THEN d2 END) / max(d2), 6) AS effective FROM s")
@@ -131,14 +131,14 @@ def m13_drift_flags(spark, sf_dir):
     return V.drift(d, ["event_type"], "day", "value", window=4, last=1, sigmas=1.0).select("event_type", F.date_format("day", "yyyy-MM-dd").alias("day"), "drift")
 
 
-@query(f"WITH {nearest_sql(1, 1)}, r AS (SELECT max(d2) AS ref FROM found) SELECT query_id AS vec_id, round(d2 / ref, 6) AS score FROM found, r")
+@query(f"WITH {nearest_sql(1, of='TRUE')}, r AS (SELECT max(d2) AS ref FROM found) SELECT query_id AS vec_id, round(d2 / ref, 6) AS score FROM found, r")
 def v11_patch_score(spark, sf_dir):
     bank = S.bank(spark, sf_dir)
     d = K.knn(bank.select("vec_id", "embedding"), bank, 1, exclude_self=True)
     return d.crossJoin(F.broadcast(d.agg(F.max("d2").alias("ref")))).select(F.col("query_id").alias("vec_id"), F.round(F.col("d2") / F.col("ref"), 6).alias("score"))  # one row
 
 
-@query(f"WITH {nearest_sql(1, 1)}, {PCA_SQL} SELECT f.query_id AS vec_id, round(0.5 * d2 + 0.5 * pca / top, 6) AS score FROM (SELECT f.query_id, f.d2, z1 * z1 + z2 * z2 AS pca, max(z1 * z1 + z2 * z2) OVER (PARTITION BY e2.label) AS top FROM found f JOIN r ON r.vec_id = f.query_id JOIN embeddings e2 ON e2.vec_id = f.query_id) f")
+@query(f"WITH {nearest_sql(1, of='TRUE')}, {PCA_SQL} SELECT f.query_id AS vec_id, round(0.5 * d2 + 0.5 * pca / top, 6) AS score FROM (SELECT f.query_id, f.d2, z1 * z1 + z2 * z2 AS pca, max(z1 * z1 + z2 * z2) OVER (PARTITION BY e2.label) AS top FROM found f JOIN r ON r.vec_id = f.query_id JOIN embeddings e2 ON e2.vec_id = f.query_id) f")
 def v13_hybrid_score(spark, sf_dir):
     from pyspark.sql import Window
 
@@ -173,7 +173,7 @@ def _maps(spark, sf_dir):
 @query("""WITH c AS (SELECT vec_id AS frame_id, [CAST(x AS DOUBLE) FOR x IN embedding] AS s FROM embeddings), g AS (SELECT unnest(range(16)) AS o), a AS (
   SELECT o, greatest(0, least(7, (o + 0.5) / 2 - 0.5)) AS p FROM g), b AS (SELECT o, CAST(floor(p) AS INTEGER) AS lo, least(CAST(floor(p) AS INTEGER) + 1, 7) AS hi, p - floor(p) AS f FROM a)
 SELECT frame_id, CAST(y.o AS INTEGER) AS y, CAST(x.o AS INTEGER) AS x, round((s[y.lo * 8 + x.lo + 1] * (1 - x.f) + s[y.lo * 8 + x.hi + 1] * x.f) * (1 - y.f) + (s[y.hi * 8 + x.lo + 1] * (1 - x.f) + s[y.hi * 8 + x.hi + 1] * x.f) * y.f, 6) AS value
-FROM c, b y, b x WHERE frame_id % 50 = 0""")
+FROM c, b y, b x""")
 def i13_upsample(spark, sf_dir):
     import pandas as pd
 
@@ -185,7 +185,7 @@ def i13_upsample(spark, sf_dir):
                 out = I.upsample(np.asarray(s).reshape(8, 8), 16, 16)
                 yield pd.DataFrame({"frame_id": k, "y": np.repeat(np.arange(16), 16), "x": np.tile(np.arange(16), 16), "value": out.ravel().round(6)})
 
-    return _maps(spark, sf_dir).filter("frame_id % 50 = 0").mapInPandas(run, "frame_id long, y int, x int, value double")
+    return _maps(spark, sf_dir).mapInPandas(run, "frame_id long, y int, x int, value double")
 
 
 @query()
