@@ -180,3 +180,113 @@ def detect(frames: DataFrame, grid: tuple[int, int], size: tuple[int, int], sigm
             yield pd.DataFrame(rows, columns=[key, "image_score", "region", "x", "y", "w", "h", "area", "max_score", "mean_score"])
 
     return frames.select(key, scores).mapInPandas(run, f"{key} long, image_score double, region int, x int, y int, w int, h int, area int, max_score double, mean_score double")
+
+
+def specular_cues(rgb: np.ndarray, tau: float) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """Mask (above ``tau``), strength and confidence of highlights in an image of 0 to 1.
+
+    Brightness, lack of colour, curvature of the brightness (not at the border) and clipping are blended.
+    """
+    x = rgb.astype(float)
+    light = np.clip(x, 1e-6, 1) ** 2.2 @ np.array([0.2126, 0.7152, 0.0722])
+    top, low = x.max(axis=-1), x.min(axis=-1)
+    colour = np.where(top < 1e-6, 0, (top - low) / np.maximum(top, 1e-6))
+    bend = np.zeros(light.shape)
+    if min(light.shape) > 2:
+        mid = light[1:-1, 1:-1]
+        lap = light[:-2, 1:-1] + light[2:, 1:-1] + light[1:-1, :-2] + light[1:-1, 2:] - 4 * mid
+        bend[1:-1, 1:-1] = _sigmoid(4 * (np.abs(lap) - 0.1))
+    strength = np.clip(0.5 * _sigmoid(15 * (light - 0.85)) + 0.3 * _sigmoid(10 * (0.25 - colour)) + 0.2 * bend + 0.3 * (top > 0.985), 0, 1)
+    return (strength > tau).astype(np.uint8), strength, 1 - strength
+
+
+def _sigmoid(x: np.ndarray) -> np.ndarray:
+    return 1 / (1 + np.exp(-x))
+
+
+def suppress_highlights(scores: np.ndarray, confidence: np.ndarray, sigma: float) -> np.ndarray:
+    """Scores lowered where confidence is low, unless the blurred surroundings are anomalous as well; sigma counts whole pixels."""
+    near = gaussian_blur(scores * confidence, int(sigma))
+    context = np.clip(near / (scores + 1e-6), 0, 1)
+    return scores * (confidence + (1 - confidence) * context)
+
+
+def resize(x: np.ndarray, h: int, w: int) -> np.ndarray:
+    """Bilinear, of 8-bit images with one or three channels; fractions are cut off."""
+    if x.ndim == 3 and x.shape[2] not in (1, 3):
+        raise ValueError(f"{x.shape[2]} channels")
+    return np.clip(upsample(x.astype(float), h, w), 0, 255).astype(np.uint8)
+
+
+def grid_of(h: int, w: int, patch: int) -> tuple[int, int]:
+    """Patches down and across; an image must be whole patches."""
+    if patch < 1 or h % patch or w % patch or not h or not w:
+        raise ValueError(f"{h} x {w} isn't whole patches of {patch}")
+    return h // patch, w // patch
+
+
+def patch_features(rgb: np.ndarray, patch: int = 14, dim: int = 128, normalise: bool = True) -> np.ndarray:
+    """A row of ``dim`` values for each patch, left to right and down.
+
+    Pixels, histograms and moments of colours, histograms of Sobel magnitude, of its direction and of how many
+    neighbours are brighter, and means of 3 x 3 cells; then means of neighbouring values, or zeros appended.
+    """
+    gh, gw = grid_of(*rgb.shape[:2], patch)
+    if patch < 3 or rgb.shape[2:] != (3,):
+        raise ValueError("patches of three pixels at least, with three channels")
+    parts = rgb.reshape(gh, patch, gw, patch, 3).swapaxes(1, 2).reshape(gh * gw, patch, patch, 3)
+    raw = np.stack([_described(p) for p in parts])
+    n = raw.shape[1]
+    if n <= dim:
+        out = np.pad(raw, ((0, 0), (0, dim - n)))
+    else:
+        cut = (np.arange(dim + 1) * n) // dim
+        out = np.add.reduceat(raw, cut[:-1], axis=1) / np.diff(cut)
+    size = np.sqrt((out**2).sum(axis=1, keepdims=True))
+    return out / np.where(size > 1e-6, size, 1) if normalise else out
+
+
+def _shares(bins: np.ndarray, n: int, weights: np.ndarray | None = None) -> np.ndarray:
+    counts = np.bincount(np.minimum(bins.astype(int).ravel(), n - 1), weights, n).astype(float)
+    return counts / (counts.sum() or 1)
+
+
+def _described(p: np.ndarray) -> np.ndarray:
+    flat = p.reshape(-1, 3).astype(float)
+    off = flat - flat.mean(axis=0)
+    var = (off**2).mean(axis=0)
+    sd = np.sqrt(var)
+    skew = np.where(sd > 1e-9, (off**3).mean(axis=0) / np.where(sd > 1e-9, sd, 1) ** 3, 0)
+    kurt = np.where(var > 1e-9, (off**4).mean(axis=0) / np.where(var > 1e-9, var, 1) ** 2 - 3, 0)
+    moments = np.stack([flat.mean(axis=0) / 255, sd / 255, np.clip(skew, -5, 5) / 5, np.clip(kurt, -5, 5) / 5], axis=1)
+
+    grey = np.floor(p @ np.array([0.299, 0.587, 0.114]))
+    around = {(i, j): grey[1 + i : grey.shape[0] - 1 + i, 1 + j : grey.shape[1] - 1 + j] for i in (-1, 0, 1) for j in (-1, 0, 1)}
+    dx = sum((2 - abs(i)) * (around[i, 1] - around[i, -1]) for i in (-1, 0, 1))
+    dy = sum((2 - abs(j)) * (around[1, j] - around[-1, j]) for j in (-1, 0, 1))
+    edge = np.zeros(grey.shape)  # no gradient at the border of a patch
+    edge[1:-1, 1:-1] = np.hypot(dx, dy)
+    span = np.ptp(edge)
+    strength = _shares((edge - edge.min()) * 16 / (span or 1), 16)
+    angle = np.arctan2(dy, dx)
+    angle = np.where(angle < 0, angle + np.pi, angle)
+    direction = _shares(angle / np.pi * 9, 9, np.hypot(dx, dy).ravel())
+    brighter = _shares(sum(a > around[0, 0] for a in around.values()), 10)
+    cell = p.shape[0] // 3
+    cells = p[: 3 * cell, : 3 * cell].reshape(3, cell, 3, cell, 3).mean(axis=(1, 3)) / 255
+    colours = [_shares(flat[:, c] // 16, 16) for c in range(3)]
+    return np.concatenate([flat.ravel() / 255, *colours, moments.ravel(), strength, direction, brighter, cells.ravel()])
+
+
+def embed_patches(images: DataFrame, patch: int = 14, dim: int = 128) -> DataFrame:
+    """Features of decoded 8-bit images of three channels: path, patch_id, embedding."""
+    ship_package(images.sparkSession)
+
+    def run(batches):
+        for pdf in batches:
+            for path, h, w, pixels in zip(pdf["path"], pdf["height"], pdf["width"], pdf["pixels"]):
+                x = patch_features(np.frombuffer(pixels, np.uint8).reshape(h, w, 3), patch, dim)
+                yield pd.DataFrame({"path": path, "patch_id": np.arange(len(x), dtype=np.int32), "embedding": list(x.astype(np.float32))})
+
+    known = images.filter("channels = 3 and bits = 8").select("path", "height", "width", "pixels")
+    return known.mapInPandas(run, "path string, patch_id int, embedding array<float>")

@@ -9,6 +9,7 @@ from ..operators import rules as E
 from ..sources import tables
 from . import frames as S
 from .registry import query
+from .topology import load_topology, run_topology
 
 LONG = """SELECT frame_id, unnest(['high_score', 'mid_score', 'noisy', 'late_view', 'missing_fact', 'odd_purchase']) AS rule, unnest([{}]) AS matched FROM {}"""
 
@@ -103,3 +104,30 @@ def t8_trace(spark, sf_dir):
 @query()
 def s10_reports(spark, sf_dir):
     return tables.reports(reasoned(spark, sf_dir))
+
+
+TOPOLOGY = """
+pipeline:
+  name: inspection
+  version: "1.0"
+  stages:
+    - {id: frames, type: Capture}
+    - {id: clean, type: Preprocess, depends_on: [frames]}
+    - {id: embed, type: Inference, depends_on: [clean]}
+    - {id: detect, type: Detect, depends_on: [embed], config: {over: 0.25}}
+    - {id: rules, type: RuleEval, depends_on: [detect]}
+    - {id: verdicts, type: Reason, depends_on: [rules]}
+    - {id: out, type: Export, depends_on: [verdicts]}
+"""
+
+
+@query(ALL + "SELECT frame_id, verdict FROM reasoned WHERE score > 0.25")
+def p1_topology(spark, sf_dir):
+    node, mapping = S.tree()
+    transforms = {
+        "Detect": lambda df, config: df.filter(F.col("score") > config["over"]),
+        "RuleEval": lambda df, config: E.evaluate(df, S.rules()),
+        "Reason": lambda df, config: T.reason(df, node, mapping),
+        "Export": lambda df, config: df.select("frame_id", "verdict"),
+    }
+    return run_topology(load_topology(TOPOLOGY), S.frames(spark, sf_dir), transforms)

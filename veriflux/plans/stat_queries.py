@@ -10,6 +10,7 @@ from ..operators import image as I
 from ..operators import knn as K
 from ..operators import linalg as L
 from ..operators import stats as V
+from ..sources import models
 from . import frames as S
 from .registry import query
 from .retrieval_queries import d2_sql, nearest_sql
@@ -192,3 +193,15 @@ def i13_upsample(spark, sf_dir):
 def i15_components(spark, sf_dir):
     out = I.detect(_maps(spark, sf_dir), (8, 8), (16, 16), 1.0, 0.05)
     return out.select("frame_id", F.round("image_score", 6).alias("image_score"), "region", "x", "y", "w", "h", "area", F.round("max_score", 6).alias("max_score"))
+
+
+@query()
+def s8_pca_file(spark, sf_dir):
+    p = models.pca_from_bytes(models.pca_bytes(L.fit_pca(S.bank(spark, sf_dir), 4)))
+    return p.to_df(spark)
+
+
+@query()
+def s12_heatmaps(spark, sf_dir):
+    out = models.heatmaps(_maps(spark, sf_dir), (8, 8))
+    return out.select("frame_id", F.length("ppm").alias("n_bytes"), F.crc32("ppm").alias("crc32"))
