@@ -1,4 +1,4 @@
-"""Substring dedup: paragraphs that repeat, exactly or nearly, within and across documents.
+"""Substring dedup: paragraphs that repeat, exactly or nearly, and passages that repeat wherever their lines end.
 
 A paragraph is a line of at least ``min_words`` words. Its words' 5-word shingles are a
 set; two paragraphs are near if the Jaccard similarity of their sets is ``similarity`` or
@@ -15,9 +15,22 @@ more.
 
 Links use the first 64 bits of the hash as the paragraph's number.
 
+A passage is a run of ``PASSAGE`` or more words that is in the table twice, over the whole text;
+every such run is found (``repeated_passages``).
+
+1. Winnowing: of the ``SEED``-word grams in each window of ``PASSAGE`` words the last with the
+   least hash is the window's seed. Equal windows have equal seeds.
+2. Seeds that occur twice fill a filter of ``SEED_BITS`` bits, whatever the table's size. A seed
+   that is not in it ends the matter for its windows; the filter lets some too many through.
+3. The windows that are left are dealt by their seeds and compared by 64 bits of hash of all their
+   words, besides the seed's 64. Of equal ones the earliest stays; the others go, but for those
+   that overlap it.
+4. Windows that follow each other and repeat windows that follow each other make a passage.
+
 Defined cases: null and empty texts have no paragraphs; rows with a null ``doc_id`` come
 first; rows that share an id share positions, and each comes out; an empty table gives
-no rows; other columns are ignored.
+no rows; other columns are ignored. Passages tell rows that share an id apart by a hash of their
+texts; rows with the same id and text count as one place.
 """
 
 from __future__ import annotations
@@ -26,7 +39,7 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from . import words
@@ -35,6 +48,9 @@ from .components import components, local_components
 
 SHINGLE, SIMILARITY, MIN_WORDS, BLOCK = 5, 0.8, 20, 512
 ROWS, RECALL = 3, 0.995
+PASSAGE, SEED = 50, 26
+#: Bits of the filter of seeds (16 MB), and of one of Spark's bitmaps.
+SEED_BITS, MAP_BITS = 1 << 27, 1 << 15
 
 
 def banding(similarity: float = SIMILARITY, rows: int = ROWS, recall: float = RECALL) -> int:
@@ -243,3 +259,186 @@ def repeated_paragraphs(docs: DataFrame, **options) -> DataFrame:
     rows = _listed(docs, options.get("min_words", MIN_WORDS), 0, 0).join(named, ["h1", "h2"])
     removed = F.struct("doc", "line") > F.col("keep")
     return rows.select(F.col("doc").alias("doc_id"), "line", F.col("keep.doc").alias("keep_doc_id"), F.col("keep.line").alias("keep_line"), "group_size", removed.alias("removed"))
+
+
+# --- passages -------------------------------------------------------------------------
+
+
+def _powers(base: int, n: int) -> np.ndarray:
+    return np.concatenate((np.ones(1, np.uint64), np.cumprod(np.full(n, base, np.uint64))))
+
+
+def gram_hashes(hashes: np.ndarray, size: int, k: int) -> np.ndarray:
+    """Hash (the ``k``th of two) of each ``size`` consecutive words of the flat hashed words."""
+    n = len(hashes)
+    if n < size:
+        return np.zeros(0, np.uint64)
+    base = int(_ODD[k])
+    sums = np.concatenate((np.zeros(1, np.uint64), np.cumsum(_mixed(hashes + _ODD[k + 2]) * _powers(base, n)[:n])))
+    return _mixed((sums[size:] - sums[:-size]) * _powers(pow(base, -1, 1 << 64), n)[: n - size + 1])
+
+
+def seeds(grams: np.ndarray, width: int) -> np.ndarray:
+    """For each ``width`` consecutive grams the place of the last least one."""
+    at, done = np.arange(len(grams)), 1
+    while done < width and len(at):
+        step = min(done, width - done)
+        a, b = at[:-step], at[step:]
+        at, done = np.where(grams[b] <= grams[a], b, a), done + step
+    return at
+
+
+def _passage_windows(part: pa.RecordBatch, h) -> tuple | None:
+    """Of a batch of texts: hashed words, each word's text and line, first words of windows that lie in one text, their seeds' places and all grams."""
+    flat, text, line = [], [], []
+    for t, body in enumerate(part.column(1).to_pylist()):
+        own = words.lines(body)
+        counts = [len(x) for x in own]
+        if sum(counts) >= PASSAGE:
+            for x in own:
+                flat += x
+            text.append(np.full(sum(counts), t))
+            line.append(np.repeat(np.arange(len(counts)), counts))
+    if not flat:
+        return None
+    hashes, text, line = np.fromiter(map(h, flat), np.uint64, len(flat)), np.concatenate(text), np.concatenate(line)
+    grams = gram_hashes(hashes, SEED, 0)
+    place = seeds(grams, PASSAGE - SEED + 1)
+    inside = np.flatnonzero(text[: len(place)] == text[PASSAGE - 1 :])
+    return hashes, text, line, inside, place[inside], grams
+
+
+def _placed(docs: DataFrame) -> DataFrame:
+    return _texts(docs).withColumn("copy", F.xxhash64("body"))
+
+
+def _seeds(docs: DataFrame) -> DataFrame:
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        from xxhash import xxh64_intdigest as h
+
+        for batch in batches:
+            for at in range(0, batch.num_rows, 32):
+                if found := _passage_windows(batch.slice(at, 32), h):
+                    *_, place, grams = found
+                    yield pa.RecordBatch.from_arrays([pa.array(grams[np.unique(place)].view(np.int64))], ["seed"])
+
+    return _texts(docs).mapInArrow(run, "seed long")
+
+
+def _filter_of(met: DataFrame) -> np.ndarray:
+    """The bytes of a filter of the seeds: ``SEED_BITS`` bits."""
+    place = F.pmod("seed", F.lit(SEED_BITS))
+    maps = met.groupBy((place / MAP_BITS).cast("int").alias("bucket")).agg(F.bitmap_construct_agg(place % MAP_BITS).alias("map"))
+    bits = np.zeros((SEED_BITS // MAP_BITS, MAP_BITS // 8), np.uint8)
+    for r in maps.toLocalIterator():
+        bits[r.bucket] = np.frombuffer(r.map, np.uint8)
+    return bits.ravel()
+
+
+def _binary(values: np.ndarray, starts: np.ndarray) -> pa.Array:
+    """The bytes of the rows of ``values``, cut at ``starts``."""
+    ends = np.append(starts, len(values)).astype(np.int32) * np.int32(8)
+    return pa.Array.from_buffers(pa.binary(), len(starts), [None, pa.py_buffer(ends.tobytes()), pa.py_buffer(np.ascontiguousarray(values).tobytes())])
+
+
+def _windows(docs: DataFrame, bits: np.ndarray) -> DataFrame:
+    """A row for each seed in the filter, at each of its places: the first word of the first window that has it, and of all these windows a hash and the lines they begin and end in."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        from xxhash import xxh64_intdigest as h
+
+        for batch in batches:
+            for at in range(0, batch.num_rows, 32):
+                part = batch.slice(at, 32)
+                if not (found := _passage_windows(part, h)):
+                    continue
+                hashes, text, line, first, place, grams = found
+                bit = grams[place] & np.uint64(SEED_BITS - 1)
+                hit = (bits[bit >> np.uint64(3)] >> (bit & np.uint64(7)).astype(np.uint8)) & 1 == 1
+                first, place = first[hit], place[hit]
+                if not len(first):
+                    continue
+                starts = np.flatnonzero(np.concatenate(([True], (place[1:] != place[:-1]) | (first[1:] != first[:-1] + 1) | (text[first[1:]] != text[first[:-1]]))))
+                at_first = first[starts]
+                own = pa.array(text[at_first])
+                word = pa.array((at_first - np.searchsorted(text, text[at_first])).astype(np.int32))
+                lines = np.stack((line[first], line[first + PASSAGE - 1]), axis=1).astype(np.int32)
+                seed = pa.array(grams[place[starts]].view(np.int64))
+                yield pa.RecordBatch.from_arrays([seed, part.column(0).take(own), part.column(2).take(own), word, _binary(gram_hashes(hashes, PASSAGE, 1)[first], starts), _binary(lines, starts)], ["seed", "doc", "copy", "word", "hashes", "lines"])
+
+    return _placed(docs).mapInArrow(run, "seed long, doc long, copy long, word int, hashes binary, lines binary")
+
+
+_RUNS = "doc long, copy long, keep_doc long, keep_copy long, shift int, removed boolean, word int, n int, line int, last_line int, keep_line int, times int"
+
+
+def _matched(rows: list[tuple]) -> Iterator[tuple]:
+    """``_RUNS`` of the places of one seed, which are sorted: of each window the earliest stays."""
+    places = [(d, c, w, np.frombuffer(h, np.int64).tolist(), np.frombuffer(x, np.int32).tolist()) for d, c, w, h, x in rows]
+    first: dict = {}
+    times: dict = {}
+    for doc, copy, word, hashes, lines in places:
+        for i, h in enumerate(hashes):
+            first.setdefault(h, (doc, copy, word + i, lines[2 * i]))
+            times[h] = times.get(h, 0) + 1
+    for doc, copy, word, hashes, lines in places:
+        run = None
+        for i, h in enumerate(hashes):
+            kind = None
+            if times[h] > 1:
+                keep = first[h]
+                same, shift = (doc, copy) == keep[:2], word + i - keep[2]
+                if not same or shift == 0 or shift >= PASSAGE:
+                    kind = (doc, copy, *keep[:2], shift, not same or shift > 0)
+            if run is not None and tuple(run[:6]) == kind:
+                run[7], run[9], run[11] = run[7] + 1, lines[2 * i + 1], max(run[11], times[h])
+                continue
+            if run is not None:
+                yield tuple(run)
+            run = None if kind is None else [*kind, word + i, 1, lines[2 * i], lines[2 * i + 1], keep[3], times[h]]
+        if run is not None:
+            yield tuple(run)
+
+
+def _match(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    kinds = {"long": pa.int64(), "int": pa.int32(), "boolean": pa.bool_()}
+    schema = pa.schema([(name, kinds[kind]) for name, kind in (x.split() for x in _RUNS.split(", "))])
+    seed, held, out = None, [], []
+    for batch in batches:
+        for own, *row in zip(*(c.to_pylist() for c in batch.columns)):
+            if own != seed:
+                if len(held) > 1:
+                    out += _matched(held)
+                seed, held = own, []
+            if not held or held[-1][:3] != row[:3]:  # the same id and text again is the same place
+                held.append(row)
+        if len(out) > 2000:
+            yield pa.RecordBatch.from_arrays([pa.array(c, k) for c, k in zip(zip(*out), schema.types)], schema=schema)
+            out = []
+    if len(held) > 1:
+        out += _matched(held)
+    if out:
+        yield pa.RecordBatch.from_arrays([pa.array(c, k) for c, k in zip(zip(*out), schema.types)], schema=schema)
+
+
+def repeated_passages(docs: DataFrame) -> DataFrame:
+    """Each passage that repeats: the columns of ``repeated_paragraphs``, and last_line, first_word, last_word, keep_first_word.
+
+    Words are counted in the document from 0; ``group_size`` is the most that one of its windows occurs.
+    """
+    small_batches(docs.sparkSession)
+    met = _seeds(docs).groupBy("seed").agg(F.count(F.lit(1)).alias("n")).filter("n > 1").select("seed")
+    rows = _windows(docs, _filter_of(met)).repartition("seed").sortWithinPartitions("seed", "doc", "copy", "word")
+    rows = rows.mapInArrow(_match, _RUNS)
+    # runs that follow each other have the same first word less the windows before them
+    group = ["doc", "copy", "keep_doc", "keep_copy", "shift", "removed"]
+    before = F.coalesce(F.sum("n").over(Window.partitionBy(*group).orderBy("word").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0))
+    rows = rows.withColumn("run", F.col("word") - before)
+    out = rows.groupBy(*group, "run").agg(F.min("word").alias("first_word"), (F.max(F.col("word") + F.col("n")) + PASSAGE - 2).alias("last_word"), F.min("line").alias("line"), F.max("last_line").alias("last_line"), F.min("keep_line").alias("keep_line"), F.max("times").cast("long").alias("group_size"))
+    return out.select(F.col("doc").alias("doc_id"), "line", F.col("keep_doc").alias("keep_doc_id"), "keep_line", "group_size", "removed", "last_line", "first_word", "last_word", (F.col("first_word") - F.col("shift")).alias("keep_first_word"))
+
+
+def repeats(docs: DataFrame, **options) -> DataFrame:
+    """The repeated paragraphs (no word numbers: whole lines), and the repeated passages."""
+    lines = repeated_paragraphs(docs, **options).withColumn("last_line", F.col("line"))
+    return lines.unionByName(repeated_passages(docs), allowMissingColumns=True)
