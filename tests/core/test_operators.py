@@ -54,6 +54,16 @@ def test_ivf_recall(spark):
     assert len(exact & found) / len(exact) >= 0.9
 
 
+@pytest.mark.parametrize("size", ["sf0.001", "sf0.01", "sf0.1"])
+def test_registered_ivf_query_recalls_the_exact_neighbours(spark, size):
+    from veriflux.plans import registry
+
+    sf = f"/root/testdata/{size}"
+    exact = {(r.query_id, r.vec_id) for r in registry.queries()["r1_knn_topk"](spark, sf).collect()}
+    found = {(r.query_id, r.vec_id) for r in registry.queries()["r5_ivf_topk"](spark, sf).collect()}
+    assert len(exact & found) / len(exact) >= 0.9
+
+
 def test_fusion_by_key_and_its_limits(spark):
     v = spark.createDataFrame([(1, 0.1), (2, 0.5), (3, 2.0)], "node_id long, distance double")
     m = spark.createDataFrame([(2, 1.0), (9, 1.0)], "node_id long, score double")

@@ -52,7 +52,7 @@ def r4_knn_filtered(spark, sf_dir):
 @query()
 def r5_ivf_topk(spark, sf_dir):
     bank = S.bank(spark, sf_dir)
-    return K.IvfIndex(bank, nlist=16).search(S.queries_of(bank), 5, nprobe=4, exclude_self=True).withColumn("d2", F.round("d2", 6))
+    return K.IvfIndex(bank, nlist=16).search(S.queries_of(bank), 5, nprobe=12, exclude_self=True).withColumn("d2", F.round("d2", 6))
 
 
 FILTERS = [("k", ">", 50), ("k", "<=", 95), ("k", "IN", [60, 61, 62, 63, 70, 90])]
