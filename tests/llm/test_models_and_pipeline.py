@@ -154,6 +154,20 @@ def test_op3_finds_the_passages_of_the_tables(spark):
     assert truth and truth <= got and len(got - truth) <= 1
 
 
+def test_leaks_with_their_rare_words_changed_are_verified():
+    import pyarrow as pa
+
+    item = [b"f%d" % i for i in range(21)] + [b"r%d" % i for i in range(9)]
+    idf = np.array([1.0] * 21 + [17.0] * 9 + [17.0, 0.0])
+    basis = np.vstack([np.diag(idf[:30]), np.zeros((2, 30))]).astype(np.float32)
+    asked = (basis[:30].sum(axis=0) / np.linalg.norm(idf[:30]))[None].astype(np.float32)
+    index = decontamination.Index({w: i for i, w in enumerate(item)}, [(7, item, item[-4:])], idf, basis, asked)
+    own = " ".join([f"f{i}" for i in range(21)] + ["r0", "r1", "r2"] + [f"other{i}" for i in range(6)])
+    batch = pa.RecordBatch.from_arrays([pa.array([1, 2]), pa.array([own, " ".join(f"f{i}" for i in range(12))])], ["doc_id", "body"])
+    found = [r for b in decontamination._search(index, 0.3, 0.8, 0.6)(iter([batch])) for r in b.to_pylist()]
+    assert [(r["doc_id"], r["item_id"], r["lcs"]) for r in found] == [(1, 7, 24)]
+
+
 # --- substring dedup ------------------------------------------------------------------
 
 
