@@ -17,8 +17,8 @@ def edits(a, b):
 def brute(rows, min_chars=20):
     """doc ids and line numbers that go."""
     at = [((d is not None, d if d is not None else 0, i), x.strip(" \t\r")) for d, t in rows if t is not None for i, x in enumerate(t.split("\n"))]
-    at = [(p, x) for p, x in at if len(x) >= min_chars]
-    return {p for p, x in at if any(q < p and abs(len(x) - len(y)) < 2 and edits(x, y) <= 1 for q, y in at)}
+    near = lambda x, y: x == y or min(len(x), len(y)) >= min_chars and abs(len(x) - len(y)) < 2 and edits(x, y) <= 1
+    return {p for p, x in at if x and any(q < p and near(x, y) for q, y in at)}
 
 
 def texts_with_edits(seed, n=40):
@@ -60,7 +60,7 @@ def test_odd_rows_keep_their_columns(spark):
     out = line_dedup.line_dedup(docs)
     assert out.columns == [*docs.columns, "_lines_dropped"]
     got = sorted((str(r.doc_id), r.text, r.n_chars, r.first, r.line, r._lines_dropped) for r in out.collect())
-    expected = [(2, "keep me, I am long enough", 1), (1, None, 0), (3, "", 0), (None, "this line is on every page\n\nshort", 0), (4, "short\nshort", 1), (5, "", 1), (5, "", 1), (6, "y" * 30000 + "\nz", 0), (7, "", 1)]
+    expected = [(2, "keep me, I am long enough", 1), (1, None, 0), (3, "", 0), (None, "this line is on every page\n\nshort", 0), (4, "", 3), (5, "", 1), (5, "", 1), (6, "y" * 30000 + "\nz", 0), (7, "", 1)]
     assert [(a, b, f) for a, b, _, _, _, f in got] == sorted((str(a), b, n) for a, b, n in expected)
     assert all(c == len(b or "") for _, b, c, *_ in got)
     assert line_dedup.line_dedup(docs.limit(0)).collect() == []
@@ -68,6 +68,30 @@ def test_odd_rows_keep_their_columns(spark):
         line_dedup.line_dedup(docs, max_edits=2)
 
 
+def test_long_lines_of_one_family_match_all_pairs(spark):
+    rng = np.random.default_rng(5)
+    base = "".join(rng.choice(list("abcdefgh "), 150)) + "x"
+    rows = []
+    for d in range(120):
+        x = list(base)
+        for k in rng.integers(0, len(x), rng.integers(0, 3)):
+            x[k : k + int(rng.integers(0, 2))] = str(rng.choice(list("yz")))
+        rows.append((d, "".join(x)))
+    got = {(True, r.doc, r.line) for r in line_dedup.dropped_lines(spark.createDataFrame(rows, "doc_id long, text string")).collect()}
+    assert got == brute(rows) and 20 < len(got) < 119
+
+
+def test_names_that_clash_and_ids_that_repeat(spark):
+    one, two = "this line is on every page\nmine, and of nobody else", "of another text of that id\nthis line is on every page"
+    rows = [(1, one), (7, one), (7, two), (None, "not repeated at all, this one"), (None, "this line is on every page")]
+    docs = spark.createDataFrame([(a, b, 1, 2, 3, 4) for a, b in rows], "doc_id long, text string, _lines_gone int, _Lines_Doc int, gone int, _lines_dropped int")
+    out = line_dedup.line_dedup(docs)
+    assert out.columns == ["doc_id", "text", "_lines_gone", "_Lines_Doc", "gone", "_lines_dropped"]
+    got = sorted((str(r[0]), r[1], r[2], r[3], r[4], r[5]) for r in out.collect())
+    left = [(1, "mine, and of nobody else", 1), (7, "", 2), (7, "of another text of that id", 1), (None, "not repeated at all, this one", 0), (None, "this line is on every page", 0)]
+    assert got == sorted((str(a), b, 1, 2, 3, n) for a, b, n in left)
+
+
 def same_as_sql(spark, sf, name, query):
     import duckdb
 
