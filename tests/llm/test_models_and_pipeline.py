@@ -236,13 +236,15 @@ def test_passages_are_found_wherever_lines_end(spark):
     rows = [(i, " ".join(prose(int(rng.integers(1, 400))))) for i in range(40)]
     rows += [(50, " ".join(prose(70) + planted + prose(90))), (51, "one line before\n" + " ".join(prose(33) + planted + prose(120)))]
     rows += [(52, " ".join(prose(60) + broken + prose(10))), (53, "\n".join(" ".join(x) for x in (prose(9), broken[:7], broken[7:19], broken[19:38], broken[38:], prose(8))))]
-    rows += [(54, " ".join(prose(40) + planted[:49] + prose(40))), (55, " ".join(x := prose(130)) + "\n" + " ".join(x)), (56, "x " * 3000), (57, None), (58, "")]
-    got = substring_dedup.repeats(spark.createDataFrame(rows, "doc_id long, text string")).filter("first_word is not null").collect()
+    rows += [(54, " ".join(prose(40) + planted[:49] + prose(40))), (55, " ".join(x := prose(130)) + "\n" + " ".join(x)), (56, "x " * 3000), (57, None), (58, ""), *[(60 + i, " ".join(planted)) for i in range(20)]]
+    df = spark.createDataFrame([*rows, rows[40]], "doc_id long, text string")
+    got = substring_dedup.repeats(df).filter("first_word is not null").collect()
+    assert sorted(map(tuple, substring_dedup.repeated_passages(df, hot=1).select(got[0].__fields__).collect())) == sorted(map(tuple, got))
     assert {(r.doc_id, w) for r in got if r.removed for w in range(r.first_word, r.last_word + 1)} == brute_windows(rows)
     found = {r.doc_id: r for r in got if r.removed}
     assert (found[51].line, found[51].first_word, found[51].last_word, found[51].keep_doc_id, found[51].keep_first_word) == (1, 36, 85, 50, 70)
     assert (found[53].line, found[53].last_line, found[53].keep_doc_id, found[53].group_size) == (1, 4, 52, 2)
-    assert 54 not in found and {r.doc_id for r in got if not r.removed} == {50, 52, 55, 56}
+    assert 54 not in found and {r.doc_id for r in got if not r.removed} == {50, 52, 55, 56} and found[79].group_size == 22
 
 
 def test_bands_reach_the_recall():

@@ -24,7 +24,9 @@ every such run is found (``repeated_passages``).
    that is not in it ends the matter for its windows; the filter lets some too many through.
 3. The windows that are left are dealt by their seeds and compared by 64 bits of hash of all their
    words, besides the seed's 64. Of equal ones the earliest stays; the others go, but for those
-   that overlap it.
+   that overlap it. Seeds of more than ``HOT`` places, which fill a second filter, are not dealt to
+   one task each: the earliest of their equal windows and how many there are come from combined
+   aggregates, and a join hands them on whose skewed partitions Spark splits.
 4. Windows that follow each other and repeat windows that follow each other make a passage.
 
 Defined cases: null and empty texts have no paragraphs; rows with a null ``doc_id`` come
@@ -43,12 +45,14 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from . import words
-from .common import checkpointed, small_batches
-from .components import components, local_components
+from .common import checkpointed, fresh_folder, small_batches
+from .components import components
 
 SHINGLE, SIMILARITY, MIN_WORDS, BLOCK = 5, 0.8, 20, 512
 ROWS, RECALL = 3, 0.995
 PASSAGE, SEED = 50, 26
+#: Places of a seed that one task may hold.
+HOT = 2048
 #: Bits of the filter of seeds (16 MB), and of one of Spark's bitmaps.
 SEED_BITS, MAP_BITS = 1 << 27, 1 << 15
 
@@ -112,33 +116,55 @@ def band_keys(shingled: np.ndarray, number: np.ndarray, bands: int, rows: int) -
     return keys
 
 
+def _hashed(bodies: list[str | None], h) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
+    """All hashed words (flat) of some texts, and of each line with words the text's number, its own and how many words it has."""
+    flat, text, line, counts = [], [], [], []
+    for t, body in enumerate(bodies):
+        for i, own in enumerate(words.lines(body)):
+            if own:
+                flat += own
+                text.append(t)
+                line.append(i)
+                counts.append(len(own))
+    return np.fromiter(map(h, flat), np.uint64, len(flat)), *(np.array(x, np.int64) for x in (text, line, counts))
+
+
 def _texts(docs: DataFrame) -> DataFrame:
     return docs.select(F.col("doc_id").cast("long").alias("doc"), F.col("text").cast("string").alias("body"))
 
 
-def _listed(docs: DataFrame, min_words: int, bands: int, rows: int) -> DataFrame:
-    """doc, line, h1, h2, keys of each paragraph; without keys if ``bands`` is 0."""
-    schema = "doc long, line int, h1 long, h2 long" + ", keys array<long>" * bool(bands)
+def _scan(docs: DataFrame, *, min_words: int = MIN_WORDS, bands: int = 0, rows: int = ROWS) -> DataFrame:
+    """What one pass over all texts gives, written to the shared folder and read back: a row for each
+    paragraph (doc, line, h1, h2, keys), and rows with the seeds of all windows of some texts (seeds)."""
+    small_batches(docs.sparkSession)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         from xxhash import xxh64_intdigest as h
 
+        kinds = {"doc": pa.int64(), "line": pa.int32(), "h1": pa.int64(), "h2": pa.int64(), "keys": pa.list_(pa.int64()), "seeds": pa.list_(pa.int64())}
+        schema = pa.schema(kinds)
         for batch in batches:
             for at in range(0, batch.num_rows, 32):
                 part = batch.slice(at, 32)
-                found = [paragraphs(t, min_words, h) for t in part.column(1).to_pylist()]
-                sizes = [len(f[0]) for f in found]
-                if not sum(sizes):
+                hashes, text, line, counts = _hashed(part.column(1).to_pylist(), h)
+                if not len(hashes):
                     continue
-                line, counts, hashes = (np.concatenate(c) for c in zip(*found))
-                one, two = _identity(counts, hashes)
-                cols = [part.column(0).take(pa.array(np.repeat(np.arange(len(sizes)), sizes))), pa.array(line.astype(np.int32)), pa.array(one.view(np.int64)), pa.array(two.view(np.int64))]
-                if bands:
-                    keys = band_keys(*shingles(counts, hashes), bands, rows).view(np.int64)
-                    cols.append(pa.ListArray.from_arrays(pa.array(np.arange(0, keys.size + 1, bands), pa.int32()), pa.array(keys.ravel())))
-                yield pa.RecordBatch.from_arrays(cols, ["doc", "line", "h1", "h2", "keys"][: len(cols)])
-
-    return _texts(docs).mapInArrow(run, schema)
+                long = counts >= min_words
+                if long.any():
+                    own, own_hashes = counts[long], hashes[np.repeat(long, counts)]
+                    one, two = _identity(own, own_hashes)
+                    keys = band_keys(*shingles(own, own_hashes), bands, rows).view(np.int64)
+                    cols = [part.column(0).take(pa.array(text[long])), pa.array(line[long].astype(np.int32)), pa.array(one.view(np.int64)), pa.array(two.view(np.int64))]
+                    cols.append(pa.ListArray.from_arrays(pa.array(np.arange(len(own) + 1) * bands, pa.int32()), pa.array(keys.ravel())))
+                    yield pa.RecordBatch.from_arrays([*cols, pa.nulls(len(own), kinds["seeds"])], schema=schema)
+                if found := _passage_windows(hashes, np.repeat(text, counts)):
+                    _, place, grams = found
+                    seeds = pa.array([grams[np.unique(place)].view(np.int64)], kinds["seeds"])
+                    yield pa.RecordBatch.from_arrays([*(pa.nulls(1, k) for k in list(kinds.values())[:-1]), seeds], schema=schema)
+
+    at = f"{fresh_folder(docs.sparkSession, 'paragraphs')}/rows"
+    _texts(docs).mapInArrow(run, "doc long, line int, h1 long, h2 long, keys array<long>, seeds array<long>").write.parquet(at)
+    return docs.sparkSession.read.parquet(at)
 
 
 def _colliding(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -229,13 +255,16 @@ def _shingle_sets(docs: DataFrame, wanted: DataFrame, min_words: int) -> DataFra
     return rows.mapInArrow(run, "id long, data binary").groupBy("id").agg(F.first("data").alias("data"))
 
 
-def near_paragraphs(docs: DataFrame, *, similarity: float = SIMILARITY, min_words: int = MIN_WORDS, rows: int = ROWS, recall: float = RECALL, block: int = BLOCK) -> tuple[DataFrame, DataFrame]:
-    """The distinct paragraphs (h1, h2, first, times), and the components of the near ones among them (node, root: h1)."""
-    small_batches(docs.sparkSession)
+def scan(docs: DataFrame, *, similarity: float = SIMILARITY, min_words: int = MIN_WORDS, rows: int = ROWS, recall: float = RECALL, **_) -> DataFrame:
+    """``_scan`` with as many bands as the options ask for."""
     bands = banding(similarity, rows, recall)
     if bands * rows > _MIX.shape[1]:
         raise ValueError("too many minima")
-    listed = _listed(docs, min_words, bands, rows)
+    return _scan(docs, min_words=min_words, bands=bands, rows=rows)
+
+
+def near_paragraphs(docs: DataFrame, listed: DataFrame, *, similarity: float = SIMILARITY, min_words: int = MIN_WORDS, block: int = BLOCK) -> tuple[DataFrame, DataFrame]:
+    """Of the paragraphs ``listed`` (of ``scan``) the distinct ones (h1, h2, first, times), and the components of the near ones among them (node, root: h1)."""
     distinct = checkpointed(listed.groupBy("h1", "h2").agg(F.min(F.struct("doc", "line")).alias("first"), F.count(F.lit(1)).alias("times"), F.first("keys").alias("keys")))
     dealt = distinct.select(F.explode("keys").alias("key"), F.col("h1").alias("id")).repartition("key").sortWithinPartitions("key", "id")
     met = checkpointed(dealt.mapInArrow(_colliding, "key long, id long"))
@@ -250,13 +279,14 @@ def near_paragraphs(docs: DataFrame, *, similarity: float = SIMILARITY, min_word
     return distinct.drop("keys"), components(pairs.mapInArrow(_verify(similarity), "a long, b long"))
 
 
-def repeated_paragraphs(docs: DataFrame, **options) -> DataFrame:
+def repeated_paragraphs(docs: DataFrame, scanned: DataFrame | None = None, **options) -> DataFrame:
     """Each paragraph that is in a group of two or more: doc_id, line, keep_doc_id, keep_line, group_size, removed."""
-    distinct, roots = near_paragraphs(docs, **options)
+    listed = (scan(docs, **options) if scanned is None else scanned).filter("h1 is not null").drop("seeds")
+    distinct, roots = near_paragraphs(docs, listed, **{k: v for k, v in options.items() if k not in ("rows", "recall")})
     named = distinct.join(roots.withColumnRenamed("node", "h1"), "h1", "left").select("h1", "h2", "first", "times", F.coalesce("root", "h1").alias("root"))
     groups = named.groupBy("root").agg(F.min("first").alias("keep"), F.sum("times").alias("group_size")).filter("group_size > 1")
     named = checkpointed(named.join(groups, "root").select("h1", "h2", "keep", "group_size"))
-    rows = _listed(docs, options.get("min_words", MIN_WORDS), 0, 0).join(named, ["h1", "h2"])
+    rows = listed.select("doc", "line", "h1", "h2").join(named, ["h1", "h2"])
     removed = F.struct("doc", "line") > F.col("keep")
     return rows.select(F.col("doc").alias("doc_id"), "line", F.col("keep.doc").alias("keep_doc_id"), F.col("keep.line").alias("keep_line"), "group_size", removed.alias("removed"))
 
@@ -288,41 +318,14 @@ def seeds(grams: np.ndarray, width: int) -> np.ndarray:
     return at
 
 
-def _passage_windows(part: pa.RecordBatch, h) -> tuple | None:
-    """Of a batch of texts: hashed words, each word's text and line, first words of windows that lie in one text, their seeds' places and all grams."""
-    flat, text, line = [], [], []
-    for t, body in enumerate(part.column(1).to_pylist()):
-        own = words.lines(body)
-        counts = [len(x) for x in own]
-        if sum(counts) >= PASSAGE:
-            for x in own:
-                flat += x
-            text.append(np.full(sum(counts), t))
-            line.append(np.repeat(np.arange(len(counts)), counts))
-    if not flat:
+def _passage_windows(hashes: np.ndarray, text: np.ndarray) -> tuple | None:
+    """Of hashed words, each with its text: the first words of windows that lie in one text, their seeds' places and all grams."""
+    if len(hashes) < PASSAGE:
         return None
-    hashes, text, line = np.fromiter(map(h, flat), np.uint64, len(flat)), np.concatenate(text), np.concatenate(line)
     grams = gram_hashes(hashes, SEED, 0)
     place = seeds(grams, PASSAGE - SEED + 1)
     inside = np.flatnonzero(text[: len(place)] == text[PASSAGE - 1 :])
-    return hashes, text, line, inside, place[inside], grams
-
-
-def _placed(docs: DataFrame) -> DataFrame:
-    return _texts(docs).withColumn("copy", F.xxhash64("body"))
-
-
-def _seeds(docs: DataFrame) -> DataFrame:
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        from xxhash import xxh64_intdigest as h
-
-        for batch in batches:
-            for at in range(0, batch.num_rows, 32):
-                if found := _passage_windows(batch.slice(at, 32), h):
-                    *_, place, grams = found
-                    yield pa.RecordBatch.from_arrays([pa.array(grams[np.unique(place)].view(np.int64))], ["seed"])
-
-    return _texts(docs).mapInArrow(run, "seed long")
+    return (inside, place[inside], grams) if len(inside) else None
 
 
 def _filter_of(met: DataFrame) -> np.ndarray:
@@ -341,8 +344,13 @@ def _binary(values: np.ndarray, starts: np.ndarray) -> pa.Array:
     return pa.Array.from_buffers(pa.binary(), len(starts), [None, pa.py_buffer(ends.tobytes()), pa.py_buffer(np.ascontiguousarray(values).tobytes())])
 
 
-def _windows(docs: DataFrame, bits: np.ndarray) -> DataFrame:
-    """A row for each seed in the filter, at each of its places: the first word of the first window that has it, and of all these windows a hash and the lines they begin and end in."""
+def _in_filter(bits: np.ndarray, seeds: np.ndarray) -> np.ndarray:
+    bit = seeds & np.uint64(SEED_BITS - 1)
+    return (bits[bit >> np.uint64(3)] >> (bit & np.uint64(7)).astype(np.uint8)) & 1 == 1
+
+
+def _windows(docs: DataFrame, bits: np.ndarray, hot: np.ndarray) -> DataFrame:
+    """A row for each run of windows with one seed that is in the filter: whether it is in the filter ``hot``, the first word of the first window that has it, and of all these windows a hash and the lines they begin and end in."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         from xxhash import xxh64_intdigest as h
@@ -350,28 +358,51 @@ def _windows(docs: DataFrame, bits: np.ndarray) -> DataFrame:
         for batch in batches:
             for at in range(0, batch.num_rows, 32):
                 part = batch.slice(at, 32)
-                if not (found := _passage_windows(part, h)):
+                hashes, text, line, counts = _hashed(part.column(1).to_pylist(), h)
+                text, line = np.repeat(text, counts), np.repeat(line, counts)
+                if not (found := _passage_windows(hashes, text)):
                     continue
-                hashes, text, line, first, place, grams = found
-                bit = grams[place] & np.uint64(SEED_BITS - 1)
-                hit = (bits[bit >> np.uint64(3)] >> (bit & np.uint64(7)).astype(np.uint8)) & 1 == 1
+                first, place, grams = found
+                hit = _in_filter(bits, grams[place])
                 first, place = first[hit], place[hit]
                 if not len(first):
                     continue
-                starts = np.flatnonzero(np.concatenate(([True], (place[1:] != place[:-1]) | (first[1:] != first[:-1] + 1) | (text[first[1:]] != text[first[:-1]]))))
+                # a seed that comes again in each of the next windows, as in words said over and over, gives one row
+                own_seed = grams[place]
+                starts = np.flatnonzero(np.concatenate(([True], (own_seed[1:] != own_seed[:-1]) | (first[1:] != first[:-1] + 1) | (text[first[1:]] != text[first[:-1]]))))
                 at_first = first[starts]
                 own = pa.array(text[at_first])
                 word = pa.array((at_first - np.searchsorted(text, text[at_first])).astype(np.int32))
                 lines = np.stack((line[first], line[first + PASSAGE - 1]), axis=1).astype(np.int32)
-                seed = pa.array(grams[place[starts]].view(np.int64))
-                yield pa.RecordBatch.from_arrays([seed, part.column(0).take(own), part.column(2).take(own), word, _binary(gram_hashes(hashes, PASSAGE, 1)[first], starts), _binary(lines, starts)], ["seed", "doc", "copy", "word", "hashes", "lines"])
+                seed = own_seed[starts]
+                yield pa.RecordBatch.from_arrays([pa.array(seed.view(np.int64)), pa.array(_in_filter(hot, seed)), part.column(0).take(own), part.column(2).take(own), word, _binary(gram_hashes(hashes, PASSAGE, 1)[first], starts), _binary(lines, starts)], ["seed", "hot", "doc", "copy", "word", "hashes", "lines"])
 
-    return _placed(docs).mapInArrow(run, "seed long, doc long, copy long, word int, hashes binary, lines binary")
+    return _texts(docs).withColumn("copy", F.xxhash64("body")).mapInArrow(run, "seed long, hot boolean, doc long, copy long, word int, hashes binary, lines binary")
 
 
 _RUNS = "doc long, copy long, keep_doc long, keep_copy long, shift int, removed boolean, word int, n int, line int, last_line int, keep_line int, times int"
 
 
+def _runs(doc, copy, word: int, lines: list[int], met: list[tuple]) -> Iterator[tuple]:
+    """``_RUNS`` of one place: ``met`` has for some of its windows, in order, their numbers, the earliest (doc, copy, word, line) and how many there are."""
+    run, last = None, -2
+    for i, keep, times in met:
+        same, shift = (doc, copy) == tuple(keep[:2]), word + i - keep[2]
+        kind = None
+        if not same or shift == 0 or shift >= PASSAGE:
+            kind = (doc, copy, *keep[:2], shift, not same or shift > 0)
+        if run is not None and (i != last + 1 or tuple(run[:6]) != kind):
+            yield tuple(run)
+            run = None
+        if run is not None:
+            run[7], run[9], run[11] = run[7] + 1, lines[2 * i + 1], max(run[11], times)
+        elif kind is not None:
+            run = [*kind, word + i, 1, lines[2 * i], lines[2 * i + 1], keep[3], times]
+        last = i
+    if run is not None:
+        yield tuple(run)
+
+
 def _matched(rows: list[tuple]) -> Iterator[tuple]:
     """``_RUNS`` of the places of one seed, which are sorted: of each window the earliest stays."""
     places = [(d, c, w, np.frombuffer(h, np.int64).tolist(), np.frombuffer(x, np.int32).tolist()) for d, c, w, h, x in rows]
@@ -382,54 +413,82 @@ def _matched(rows: list[tuple]) -> Iterator[tuple]:
             first.setdefault(h, (doc, copy, word + i, lines[2 * i]))
             times[h] = times.get(h, 0) + 1
     for doc, copy, word, hashes, lines in places:
-        run = None
-        for i, h in enumerate(hashes):
-            kind = None
-            if times[h] > 1:
-                keep = first[h]
-                same, shift = (doc, copy) == keep[:2], word + i - keep[2]
-                if not same or shift == 0 or shift >= PASSAGE:
-                    kind = (doc, copy, *keep[:2], shift, not same or shift > 0)
-            if run is not None and tuple(run[:6]) == kind:
-                run[7], run[9], run[11] = run[7] + 1, lines[2 * i + 1], max(run[11], times[h])
-                continue
-            if run is not None:
-                yield tuple(run)
-            run = None if kind is None else [*kind, word + i, 1, lines[2 * i], lines[2 * i + 1], keep[3], times[h]]
-        if run is not None:
-            yield tuple(run)
+        yield from _runs(doc, copy, word, lines, [(i, first[h], times[h]) for i, h in enumerate(hashes) if times[h] > 1])
 
 
-def _match(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+def _run_batch(rows: list[tuple]) -> pa.RecordBatch:
     kinds = {"long": pa.int64(), "int": pa.int32(), "boolean": pa.bool_()}
     schema = pa.schema([(name, kinds[kind]) for name, kind in (x.split() for x in _RUNS.split(", "))])
+    return pa.RecordBatch.from_arrays([pa.array(c, k) for c, k in zip(zip(*rows), schema.types)], schema=schema)
+
+
+def _match(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     seed, held, out = None, [], []
     for batch in batches:
         for own, *row in zip(*(c.to_pylist() for c in batch.columns)):
             if own != seed:
-                if len(held) > 1:
+                if held:
                     out += _matched(held)
                 seed, held = own, []
             if not held or held[-1][:3] != row[:3]:  # the same id and text again is the same place
                 held.append(row)
         if len(out) > 2000:
-            yield pa.RecordBatch.from_arrays([pa.array(c, k) for c, k in zip(zip(*out), schema.types)], schema=schema)
+            yield _run_batch(out)
             out = []
-    if len(held) > 1:
+    if held:
         out += _matched(held)
     if out:
-        yield pa.RecordBatch.from_arrays([pa.array(c, k) for c, k in zip(zip(*out), schema.types)], schema=schema)
+        yield _run_batch(out)
 
 
-def repeated_passages(docs: DataFrame) -> DataFrame:
+def _single(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """Each window of (seed, alike, n, doc, copy, word, lines, hashes) for itself."""
+    for batch in batches:
+        found = batch.column(7).to_pylist()
+        sizes = np.array([len(x) // 8 for x in found], np.int64)
+        number = np.arange(sizes.sum()) - np.repeat(np.cumsum(sizes) - sizes, sizes)
+        lines = np.frombuffer(b"".join(batch.column(6).to_pylist()), np.int32)[::2]
+        at = pa.array(np.repeat(np.arange(len(sizes)), sizes))
+        own = [batch.column(i).take(at) for i in range(5)]
+        word = batch.column(5).to_numpy()[at.to_numpy()] + number
+        yield pa.RecordBatch.from_arrays([*own[:2], pa.array(number.astype(np.int32)), pa.array(np.frombuffer(b"".join(found), np.int64)), *own[2:], pa.array(word.astype(np.int32)), pa.array(lines)], ["seed", "alike", "i", "hash", "n", "doc", "copy", "word", "line"])
+
+
+def _split_runs(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """``_RUNS`` of the places (doc, copy, word, lines, met)."""
+    for batch in batches:
+        out = []
+        for doc, copy, word, lines, met in zip(*(c.to_pylist() for c in batch.columns)):
+            met = [(m["i"], (m["doc"], m["copy"], m["word"], m["line"]), m["times"]) for m in met]
+            out += _runs(doc, copy, word, np.frombuffer(lines, np.int32).tolist(), met)
+        if out:
+            yield _run_batch(out)
+
+
+def _matched_apart(rows: DataFrame) -> DataFrame:
+    """``_RUNS`` of seeds of any number of places. Places whose windows are all alike are told apart last."""
+    rows = checkpointed(rows.distinct().withColumn("alike", F.xxhash64("hashes")))
+    alike = rows.groupBy("seed", "alike").agg(F.min(F.struct("doc", "copy", "word", "lines", "hashes")).alias("first"), F.count(F.lit(1)).alias("n"))
+    single = checkpointed(alike.select("seed", "alike", "n", "first.*").mapInArrow(_single, "seed long, alike long, i int, hash long, n long, doc long, copy long, word int, line int"))
+    first = single.groupBy("seed", "hash").agg(F.min(F.struct("doc", "copy", "word", "line")).alias("keep"), F.sum("n").cast("int").alias("times")).filter("times > 1")
+    met = single.select("seed", "alike", "i", "hash").join(checkpointed(first), ["seed", "hash"])
+    met = met.groupBy("seed", "alike").agg(F.array_sort(F.collect_list(F.struct("i", "keep.doc", "keep.copy", "keep.word", "keep.line", "times"))).alias("met"))
+    found = rows.join(checkpointed(met), ["seed", "alike"]).select("doc", "copy", "word", "lines", "met")
+    return found.mapInArrow(_split_runs, _RUNS)
+
+
+def repeated_passages(docs: DataFrame, scanned: DataFrame | None = None, hot: int = HOT) -> DataFrame:
     """Each passage that repeats: the columns of ``repeated_paragraphs``, and last_line, first_word, last_word, keep_first_word.
 
     Words are counted in the document from 0; ``group_size`` is the most that one of its windows occurs.
     """
     small_batches(docs.sparkSession)
-    met = _seeds(docs).groupBy("seed").agg(F.count(F.lit(1)).alias("n")).filter("n > 1").select("seed")
-    rows = _windows(docs, _filter_of(met)).repartition("seed").sortWithinPartitions("seed", "doc", "copy", "word")
-    rows = rows.mapInArrow(_match, _RUNS)
+    found = (_scan(docs) if scanned is None else scanned).select(F.explode("seeds").alias("seed"))
+    met = checkpointed(found.groupBy("seed").agg(F.count(F.lit(1)).alias("n")).filter("n > 1"))
+    placed = _windows(docs, _filter_of(met), _filter_of(met.filter(F.col("n") > hot)))
+    placed = checkpointed(placed)
+    rows = placed.filter("not hot").drop("hot").repartition("seed").sortWithinPartitions("seed", "doc", "copy", "word")
+    rows = rows.mapInArrow(_match, _RUNS).unionByName(_matched_apart(placed.filter("hot").drop("hot")))
     # runs that follow each other have the same first word less the windows before them
     group = ["doc", "copy", "keep_doc", "keep_copy", "shift", "removed"]
     before = F.coalesce(F.sum("n").over(Window.partitionBy(*group).orderBy("word").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0))
@@ -440,5 +499,6 @@ def repeated_passages(docs: DataFrame) -> DataFrame:
 
 def repeats(docs: DataFrame, **options) -> DataFrame:
     """The repeated paragraphs (no word numbers: whole lines), and the repeated passages."""
-    lines = repeated_paragraphs(docs, **options).withColumn("last_line", F.col("line"))
-    return lines.unionByName(repeated_passages(docs), allowMissingColumns=True)
+    scanned = scan(docs, **options)
+    lines = repeated_paragraphs(docs, scanned, **options).withColumn("last_line", F.col("line"))
+    return lines.unionByName(repeated_passages(docs, scanned), allowMissingColumns=True)
