@@ -3,10 +3,11 @@
 Each task packs the documents of its partition in ascending order of ``doc_id``. A level
 array counts the open windows by how many tokens they hold. A document is cut into full
 windows and a rest; the rest goes to the level for which the sum of the squared counts
-grows least (a full window leaves the array). When a partition ends, or when more than
-``max_open`` windows are open, the emptiest open windows are cut up to fill the fuller
-ones, so that one window with padding remains at most. No shuffle is needed, memory is
-bounded by ``max_open`` windows, and a task that runs again gives the same rows.
+grows least (a full window leaves the array). With ``max_open`` windows open none is opened
+for a whole rest: the rule then weighs, besides, to cut it so that its first part fills a
+window up. When a partition ends, the emptiest of the open windows, ``max_open`` at most,
+are cut up to fill the fuller ones, so that one window with padding remains at most. No shuffle
+is needed, memory is bounded by ``max_open`` windows, and a task that runs again gives the same rows.
 
 Defined cases: a null or empty text is a document of one id (the end id); rows with a null
 ``doc_id`` come first; repeated rows are packed each; an empty table gives no rows; other
@@ -17,7 +18,6 @@ from __future__ import annotations
 
 from collections.abc import Iterator
 
-import numpy as np
 import pyarrow as pa
 from pyspark import TaskContext
 from pyspark.sql import DataFrame
@@ -26,7 +26,7 @@ from pyspark.sql import functions as F
 from . import tokens
 from .common import small_batches
 
-WINDOW, MAX_OPEN = 4096, 1024
+WINDOW, MAX_OPEN = 4096, 16
 SCHEMA = "doc_id long, start long, length long, ids binary, doc_tokens long, sequence_id long, offset long"
 ARROW = pa.schema([("doc_id", pa.int64()), ("start", pa.int64()), ("length", pa.int64()), ("ids", pa.binary()), ("doc_tokens", pa.int64()), ("sequence_id", pa.int64()), ("offset", pa.int64())])
 
@@ -36,7 +36,8 @@ class SumOfSquares:
 
     def __init__(self, window: int = WINDOW, max_open: int = MAX_OPEN, first_sequence: int = 0):
         self.window, self.max_open, self.next = window, max_open, first_sequence
-        self.counts = np.zeros(window + 1, np.int64)  # the level array: open windows by fill
+        self.counts = [0] * (window + 1)  # the level array: open windows by fill
+        self.by_rule = 0  # windows that the rule itself closed
         self.open: dict[int, list[list]] = {}
         self.n_open = 0
         self.done: list[tuple] = []
@@ -45,35 +46,47 @@ class SumOfSquares:
         n, full = len(ids) // 4, self.window
         at = 0
         while n - at >= full:
+            self.by_rule += 1
             self._close([(doc_id, at, ids[4 * at : 4 * (at + full)], n)])
             at += full
         if at < n:
             self._place((doc_id, at, ids[4 * at :], n))
 
     def _place(self, piece: tuple) -> None:
-        size, full, c = len(piece[2]) // 4, self.window, self.counts
-        # growth of the sum of squares if the piece goes to a window at level 0 (a new one), 1, ...
-        levels = full - size
-        growth = 2 * (c[size:full] - c[:levels]) + 2
-        growth[0] = 2 * c[size] + 1
-        growth = np.where(c[:levels] > 0, growth, np.iinfo(np.int64).max)
-        growth[0] = 2 * c[size] + 1
-        level = int(growth.argmin())
-        if levels and c[levels] > 0 and 1 - 2 * c[levels] <= growth[level]:
-            level = levels  # fills a window up
-        if level:
-            pieces = self._take(level)
-            pieces.append(piece)
-        else:
-            pieces = [piece]
-        self._put(pieces, level + size)
-        if self.n_open > self.max_open:
-            self.consolidate()
+        doc_id, start, ids, n = piece
+        size, full, c = len(ids) // 4, self.window, self.counts
+        # growth of the sum of squares if the piece opens a window, goes to one, fills one up, or fills one up and opens one with what is left
+        best = (2 * c[size] + 1, 1, 0) if self.n_open < self.max_open else None
+        for level in self.open:
+            to = level + size
+            if to < full:
+                found = (2 * (c[to] - c[level]) + 2, 1, level)
+            elif to == full:
+                found = (1 - 2 * c[level], 0, level)
+            elif self.n_open >= self.max_open:
+                left = to - full
+                found = (2 * (c[left] - c[level]) + (0 if left == level else 2), 2, level)
+            else:
+                continue
+            if best is None or found < best:
+                best = found
+        level = best[2]
+        room = full - level
+        if size > room:  # cut
+            self.by_rule += 1
+            self._close([*self._take(level), (doc_id, start, ids[: 4 * room], n)])
+            self._place((doc_id, start + room, ids[4 * room :], n))
+            return
+        self.by_rule += size == room
+        self._put([*self._take(level), piece] if level else [piece], level + size)
 
     def _take(self, level: int) -> list[tuple]:
         self.counts[level] -= 1
         self.n_open -= 1
-        return self.open[level].pop()
+        pieces = self.open[level].pop()
+        if not self.open[level]:
+            del self.open[level]
+        return pieces
 
     def _put(self, pieces: list[tuple], level: int) -> None:
         if level == self.window:
@@ -94,7 +107,7 @@ class SumOfSquares:
         """Fill the fuller open windows with what the emptiest hold, cutting pieces; one open window is left at most."""
         windows = [(level, pieces) for level in sorted(self.open) for pieces in self.open[level]]
         self.open, self.n_open = {}, 0
-        self.counts[:] = 0
+        self.counts = [0] * (self.window + 1)
         spare: list[tuple] = []  # pieces of windows that were given up
         low, high = 0, len(windows) - 1
         while low <= high:
@@ -125,7 +138,7 @@ class SumOfSquares:
             for pieces in stacks:
                 self._close(pieces)
         self.open, self.n_open = {}, 0
-        self.counts[:] = 0
+        self.counts = [0] * (self.window + 1)
 
 
 def _batch(rows: list[tuple]) -> pa.RecordBatch:

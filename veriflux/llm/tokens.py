@@ -5,10 +5,14 @@ pattern and encodes each word for itself; white space is dropped. So the ids of
 the ids of its words, one after another. Texts of Latin characters are cut here by the
 same pattern; others, and those with "<|", which may begin a special token, at spaces
 alone, which no token crosses. Each distinct word goes through the tokenizers library.
+
+All this holds for tokenizers that normalise and cut like that one. Texts of any other
+tokenizer go through the library whole.
 """
 
 from __future__ import annotations
 
+import json
 import os
 import re
 from array import array
@@ -21,6 +25,9 @@ WORDS = re.compile(rf"[{LETTERS}]+|'s|'t|'re|'ve|'m|'ll|'d|[0-9]|[^{LETTERS}0-9
 #: Characters whose class or lower case may differ between libraries, and the start of special tokens.
 OTHER = re.compile("[\x00-\x08\x0b\x0c\x0e-\x1f\x7f-\xa0²³¹¼½¾İ\u0250-\U0010ffff]|<\\|")
 DEFAULT_VOCABULARY = "word_bpe_49k.json"
+#: How a tokenizer normalises and cuts whose texts may be cut into words here (fixed values of its file).
+NORMALISES = ["NFC", "Replace", "Lowercase"]
+CUTS = r"'s|'t|'re|'ve|'m|'ll|'d|[\p{L}]+|[\p{N}]|[^\s\p{L}\p{N}]+"
 
 
 def default_path() -> str:
@@ -37,6 +44,14 @@ def words_of(text: str | None) -> list[str]:
     return WORDS.findall(text.lower())
 
 
+def _cuts_into_words(settings: dict) -> bool:
+    normaliser, cutter = settings.get("normalizer") or {}, settings.get("pre_tokenizer") or {}
+    steps = [x.get("type") for x in normaliser.get("normalizers", [])]
+    cuts = [(x.get("type"), x.get("pattern", {}).get("Regex")) for x in cutter.get("pretokenizers", [])]
+    added = all(x["content"].startswith("<|") for x in settings.get("added_tokens", []))
+    return added and steps == NORMALISES and cuts == [("Split", CUTS), ("ByteLevel", None)] and settings["model"].get("type") == "BPE"
+
+
 class WordEncoder:
     """``encode(texts)``: for each text its ids as little-endian unsigned 32-bit integers."""
 
@@ -46,15 +61,18 @@ class WordEncoder:
 
         self.tokenizer = Tokenizer.from_file(path or default_path())
         self.known: dict[str, bytes] = {"": b""}
+        self.by_word = _cuts_into_words(json.loads(self.tokenizer.to_str()))
 
     def encode(self, texts: list[str | None]) -> list[bytes]:
+        if not self.by_word:
+            return [array("I", e.ids).tobytes() for e in self.tokenizer.encode_batch_fast([t or "" for t in texts], add_special_tokens=False)]
         split = [words_of(t) for t in texts]
         known, used = self.known, set().union(*split)
         if len(known) + len(used) > CACHE_WORDS:
             # start anew, with those of this batch that are at hand
             known = self.known = {w: known[w] for w in used if w in known} | {"": b""}
         missing = list(used.difference(known))
-        for word, e in zip(missing, self.tokenizer.encode_batch(missing, add_special_tokens=False)):
+        for word, e in zip(missing, self.tokenizer.encode_batch_fast(missing, add_special_tokens=False)):
             known[word] = array("I", e.ids).tobytes()
         out = [b"".join(map(known.__getitem__, words)) for words in split]
         for word in missing:
