@@ -36,11 +36,11 @@ def op5_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
 def op6_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = table(spark, sf_dir, "documents")
     model = toxicity.fit(docs, table(spark, sf_dir, "labels"))
-    return toxicity.score(docs, model).withColumn("offending_sentences", F.size("offending")).drop("offending")
+    return toxicity.score(docs, model).withColumn("offending_sentences", F.size("offending"))
 
 
 def op7_simhash(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return simhash.simhash_groups(table(spark, sf_dir, "documents"))
+    return simhash.simhash_groups(table(spark, sf_dir, "documents")).drop("row", "root")
 
 
 def op8_token_ids(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -7,7 +7,9 @@ noisy-or; the sentences that offend are then those whose own p_s is high.
 
 A word's weight is the sum of the weights of its features: the word itself and its
 first 3, 4 and 5 characters, hashed. Features are chosen by how much more often they occur
-in documents labelled 1. Nothing but the text enters a score.
+in documents labelled 1: those in ``LEAST_TOXIC`` such documents or more whose z score for that
+is above ``LEAST_Z``, at most ``max_features`` of them, of the highest z. Nothing but the text
+enters a score.
 
 Fitted on at most ``max_labelled`` labelled rows (a bounded sample, those of the least
 hash of ``doc_id``), which is what is broadcast; every document is scored, in one pass
@@ -34,6 +36,8 @@ from . import words
 from .common import small_batches
 
 MAX_LABELLED, MAX_FEATURES, BUCKETS, FOLDS = 20_000, 3_000, 1 << 22, 5
+#: What a feature must have to be one: documents labelled 1 that it is in, and their surplus in standard deviations.
+LEAST_TOXIC, LEAST_Z = 3, 3
 SCORED = "doc_id long, held_out boolean, score double, predicted int, sentences int, offending array<struct<sentence:int,score:double>>"
 
 
@@ -132,7 +136,7 @@ def fit(docs: DataFrame, labels: DataFrame, *, max_labelled: int = MAX_LABELLED,
         n1, n0 = float(totals.toxic), float(totals.clean)
         rate = (F.col("toxic") + F.col("clean")) / (n1 + n0)
         z = F.try_divide(F.col("toxic") / n1 - F.col("clean") / n0, F.sqrt(rate * (1 - rate) * (1 / n1 + 1 / n0)))  # null: in every document
-        best = counts.filter("feature >= 0 and toxic >= 3").withColumn("z", F.round(z, 9)).filter("z > 3").orderBy(F.desc("z"), "feature").limit(max_features).collect()
+        best = counts.filter(f"feature >= 0 and toxic >= {LEAST_TOXIC}").withColumn("z", F.round(z, 9)).filter(f"z > {LEAST_Z}").orderBy(F.desc("z"), "feature").limit(max_features).collect()
     finally:
         counts.unpersist()
     if not best:
