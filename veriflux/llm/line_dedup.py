@@ -26,7 +26,7 @@ Defined cases: null texts stay null; an empty text and blank lines stay; a text
 whose lines go becomes empty; rows with a null ``doc_id`` come first; rows that share an
 id are told apart by a hash of their texts, and if their texts are equal as well they
 count as one, so neither's lines are copies of the other's; an empty table gives no rows;
-all columns are handed on, and names may clash, but for ``_lines_dropped``, which is replaced.
+all columns are handed on, and names may clash, but for that of ``count``, which is replaced.
 """
 
 from __future__ import annotations
@@ -141,13 +141,13 @@ def dropped_lines(docs: DataFrame, min_chars: int = MIN_CHARS) -> DataFrame:
     return at.filter(F.col("near") | later).select("doc", "copy", "line", F.when(F.col("near"), "near").otherwise("copy").alias("kind"))
 
 
-def line_dedup(docs: DataFrame, min_chars: int = MIN_CHARS, max_edits: int = 1) -> DataFrame:
-    """``docs`` without the dropped lines, all columns kept; ``n_chars``, if there, follows the text. Adds ``_lines_dropped``."""
+def line_dedup(docs: DataFrame, min_chars: int = MIN_CHARS, max_edits: int = 1, count: str | None = "_lines_dropped") -> DataFrame:
+    """``docs`` without the dropped lines, all columns kept; ``n_chars``, if there, follows the text. Adds ``count``, if asked for."""
     if max_edits != 1:
         raise ValueError("the half-line pruning holds for one edit")
-    names = [c for c in docs.columns if c != "_lines_dropped"]
+    names = [c for c in docs.columns if c != count]
     own = {c: f"c{i}" for i, c in enumerate(names)}  # names that can't clash
-    rows = docs.drop("_lines_dropped").toDF(*own.values())
+    rows = docs.select(*[F.col(f"`{c}`") for c in names]).toDF(*own.values())
     doc, text = F.col(own["doc_id"]).cast("long"), F.col(own["text"])
     gone = dropped_lines(docs, min_chars).groupBy(F.col("doc").alias("gone_doc"), F.col("copy").alias("gone_copy")).agg(F.collect_set("line").alias("gone"))
     out = rows.join(gone, doc.eqNullSafe(F.col("gone_doc")) & (F.xxhash64(text.cast("string")) == F.col("gone_copy")), "left")
@@ -157,7 +157,7 @@ def line_dedup(docs: DataFrame, min_chars: int = MIN_CHARS, max_edits: int = 1)
     if "n_chars" in own:
         values[own["n_chars"]] = F.when(changed, F.length(left).cast("long")).otherwise(F.col(own["n_chars"]).cast("long"))
     dropped = F.when(changed, F.size("gone")).otherwise(0).cast("int")
-    return out.select(*[values.get(c, F.col(c)).alias(name) for name, c in own.items()], dropped.alias("_lines_dropped"))
+    return out.select(*[values.get(c, F.col(c)).alias(name) for name, c in own.items()], *([dropped.alias(count)] if count else []))
 
 
 ORACLE_SQL = r"""

@@ -26,10 +26,10 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .common import checkpointed, small_batches
+from .common import checkpointed, gathered, small_batches
 from .components import components, local_components
 
 SEED, SHINGLE, BITS_APART, BLOCK = 42, 4, 4, 2048
@@ -63,16 +63,17 @@ def _majority(hashes: np.ndarray) -> int:
     return int(np.packbits(2 * ones > len(hashes), bitorder="little").view("<u8")[0])
 
 
-def fingerprints(docs: DataFrame, size: int = SHINGLE) -> DataFrame:
-    """doc_id, fp (the fingerprint's bits as a long)."""
+def fingerprints(docs: DataFrame, size: int = SHINGLE, carried: Column | None = None) -> DataFrame:
+    """doc_id, row (the long ``carried``, or null), fp (the fingerprint's bits as a long)."""
     small_batches(docs.sparkSession)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            fps = np.array([fingerprint(t, size) for t in batch.column(1).to_pylist()], np.uint64).view(np.int64)
-            yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(fps)], ["doc_id", "fp"])
+            fps = np.array([fingerprint(t, size) for t in batch.column(2).to_pylist()], np.uint64).view(np.int64)
+            yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1), pa.array(fps)], ["doc_id", "row", "fp"])
 
-    return docs.select(F.col("doc_id").cast("long"), F.col("text").cast("string")).mapInArrow(run, "doc_id long, fp long")
+    row = F.lit(None).cast("long") if carried is None else carried
+    return docs.select(F.col("doc_id").cast("long").alias("doc_id"), row.alias("row"), F.col("text").cast("string").alias("body")).mapInArrow(run, "doc_id long, row long, fp long")
 
 
 # --- anchors --------------------------------------------------------------------------
@@ -124,7 +125,7 @@ def anchors(fps: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
 
 
 def _replicate(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    for batch in batches:
+    for batch in gathered(batches):
         fps = batch.column(0).to_numpy(zero_copy_only=False).astype(np.int64).view(np.uint64)
         rows, keys = anchors(fps)
         yield pa.RecordBatch.from_arrays([pa.array(keys.view(np.int64)), pa.array(fps[rows].view(np.int64))], ["anchor", "fp"])
@@ -172,9 +173,7 @@ def _compare(apart: int):
             a, b = linked_groups(np.cumsum(step), cols[3].view(np.uint64), apart)
             return pa.RecordBatch.from_arrays([pa.array(a.view(np.int64)), pa.array(b.view(np.int64))], ["a", "b"])
 
-        for batch in batches:
-            if not batch.num_rows:
-                continue
+        for batch in gathered(batches):
             cols = tuple(batch.column(i).to_numpy(zero_copy_only=False).astype(np.int64) for i in range(4))
             differs = (cols[0] != cols[0][-1]) | (cols[1] != cols[1][-1]) | (cols[2] != cols[2][-1])
             last = len(differs) - int(np.argmax(differs[::-1])) if differs.any() else 0  # where the last group starts
@@ -196,7 +195,6 @@ def links(nodes: DataFrame, apart: int = BITS_APART, block: int = BLOCK) -> Data
     """Links ``a``, ``b`` whose components are those of all fingerprints ``fp`` (distinct) within ``apart`` <= 4 bits."""
     if not 0 <= apart <= 4:
         raise ValueError("the anchors cover up to 4 differing bits")
-    nodes.sparkSession.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", "4096")
     dealt = nodes.select("fp").mapInArrow(_replicate, "anchor long, fp long")
     counts = dealt.groupBy("anchor").agg(F.count(F.lit(1)).alias("n")).filter("n > 1")
     blocks = F.ceil(F.col("n") / block).cast("int")
@@ -211,12 +209,24 @@ def links(nodes: DataFrame, apart: int = BITS_APART, block: int = BLOCK) -> Data
 # --- the operator ---------------------------------------------------------------------
 
 
-def simhash_groups(docs: DataFrame, apart: int = BITS_APART, size: int = SHINGLE, block: int = BLOCK) -> DataFrame:
-    """For each row of ``docs``: doc_id, fingerprint (16 hex digits), component_id (the smallest doc_id reachable)."""
-    found = checkpointed(fingerprints(docs, size))
+def simhash_groups(docs: DataFrame, apart: int = BITS_APART, size: int = SHINGLE, block: int = BLOCK, carried: Column | None = None) -> DataFrame:
+    """For each row of ``docs``: doc_id, fingerprint (16 hex digits), component_id (the smallest doc_id reachable), and row (``carried``), root (a fingerprint that stands for the component)."""
+    found = checkpointed(fingerprints(docs, size, carried))
     nodes = checkpointed(found.groupBy("fp").agg(F.min("doc_id").alias("least")))
     roots = components(links(nodes, apart, block))
     nodes = nodes.join(roots.withColumnRenamed("node", "fp"), "fp", "left").select("fp", "least", F.coalesce("root", "fp").alias("root"))
-    least = nodes.groupBy("root").agg(F.min("least").alias("component_id"))
-    named = nodes.join(least, "root").select("fp", "component_id")
-    return found.join(named, "fp").select("doc_id", F.lpad(F.lower(F.hex("fp")), 16, "0").alias("fingerprint"), "component_id")
+    # read anew, it is dealt out for the join, and Spark can split a large component's nodes
+    least = checkpointed(nodes.groupBy("root").agg(F.min("least").alias("component_id")))
+    named = nodes.join(least, "root").select("fp", "component_id", "root")
+    return found.join(named, "fp").select("doc_id", F.lpad(F.lower(F.hex("fp")), 16, "0").alias("fingerprint"), "component_id", "row", "root")
+
+
+def first_of_groups(docs: DataFrame, **options) -> DataFrame:
+    """Of each component the row with the smallest ``doc_id`` (null last; then of the least columns), all columns kept."""
+    key = F.xxhash64(F.col("doc_id").cast("long"), F.col("text").cast("string"))
+    groups = simhash_groups(docs, carried=key, **options)
+    kept = groups.groupBy("root").agg(F.min(F.struct(F.col("doc_id").isNull(), "doc_id", "row")).alias("first")).select(F.col("first.row").alias("kept_row"))
+    own = [f"c{i}" for i in range(len(docs.columns))]  # names that can't clash
+    rows = docs.select("*", key.alias("row")).toDF(*own, "own_row").join(kept, F.col("own_row") == F.col("kept_row"), "left_semi")
+    rows = rows.groupBy("own_row").agg(F.min(F.struct(*own)).alias("first")).select(*[F.col(f"first.{c}") for c in own])  # rows that are there twice
+    return rows.toDF(*docs.columns)
