@@ -31,6 +31,24 @@ def test_pieces_have_the_ids_of_whole_texts(texts):
     assert tokens.encoder().encode(texts) == expected
 
 
+def test_other_tokenizers_get_whole_texts():
+    import public_tokenizers
+
+    path = public_tokenizers.path("byte_bpe_50k.json")
+    t, e = Tokenizer.from_file(path), tokens.WordEncoder(path)
+    texts = ["Two  Spaces, and\nlines's end", "", "x" * 3000, " \t"]
+    assert not e.by_word and tokens.encoder().by_word
+    assert e.encode([*texts, None]) == [np.array(t.encode(x, add_special_tokens=False).ids, "<u4").tobytes() for x in [*texts, ""]]
+
+
+def test_the_rule_closes_nearly_all_windows():
+    rng, p = np.random.default_rng(3), packing.SumOfSquares(window=256)
+    for i in range(4000):
+        p.add(i, bytes(4 * int(rng.integers(1, 300))))
+    p.finish()
+    assert p.next - p.by_rule <= p.max_open and p.by_rule > 0.98 * p.next
+
+
 def test_cache_stays_bounded(monkeypatch):
     monkeypatch.setattr(tokens, "CACHE_WORDS", 10)
     e = tokens.WordEncoder()
@@ -84,7 +102,7 @@ def test_sum_of_squares_on_any_sizes(sizes, max_open):
         docs[i] = np.arange(n, dtype="<u4").tobytes()
         p.add(i, docs[i])
         assert p.n_open <= max_open + 1
-        assert p.n_open == p.counts.sum() == sum(map(len, p.open.values()))
+        assert p.n_open == sum(p.counts) == sum(map(len, p.open.values()))
     p.finish()
     got, fill = defaultdict(dict), defaultdict(list)
     for doc, start, length, ids, n, seq, offset in p.done:
@@ -102,7 +120,7 @@ def test_levels_minimise_the_sum_of_squares():
     p = packing.SumOfSquares(window=20, max_open=10**9)
     for i in range(300):
         size = int(rng.integers(1, 20))
-        before = p.counts.copy()
+        before = np.array(p.counts)
 
         def cost(level):
             c = before.copy()
@@ -114,7 +132,7 @@ def test_levels_minimise_the_sum_of_squares():
 
         choices = [cost(v) for v in range(0, 21 - size) if v == 0 or before[v]]
         p._place((i, 0, b"\0" * 4 * size, size))
-        assert int((p.counts**2).sum()) == min(choices)
+        assert sum(c * c for c in p.counts) == min(choices)
 
 
 @pytest.mark.parametrize("kind", ["byte", "bit"])

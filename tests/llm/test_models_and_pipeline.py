@@ -2,6 +2,7 @@ import itertools
 
 import numpy as np
 import pytest
+from pyspark.sql import functions as F
 
 import corpus_pipeline
 from veriflux.llm import decontamination, queries, simhash, substring_dedup, toxicity, words
@@ -53,6 +54,55 @@ def test_noisy_or_finds_documents_and_sentences(spark, bags):
     assert not empty.fitted and {r.score for r in toxicity.score(docs, empty).collect()} == {0.0}
 
 
+def test_scores_are_the_noisy_or_of_all_sentences(spark, sf):
+    import math
+
+    docs, labels = (spark.read.parquet(f"{sf}/{t}.parquet") for t in ("documents", "labels"))
+    model = toxicity.fit(docs, labels)
+    got = {r.doc_id: r for r in queries.op6_toxicity(spark, sf).collect()}
+    assert model.fitted and len(got) == docs.count()
+    for doc_id, text in docs.select("doc_id", "text").collect():
+        clean, offending = 1.0, []
+        for i, own in enumerate(words.sentences(text)):
+            z = model.bias + sum(model.weights.get(f, 0.0) for w in own for f in toxicity.features_of(w))
+            p = 1 / (1 + math.exp(-z))
+            clean *= 1 - p
+            if p >= 0.5:
+                offending.append((i, round(p, 9)))
+        r = got[doc_id]
+        assert abs(r.score - (1 - clean)) < 1e-9 and r.predicted == (r.score >= 0.5)
+        assert [(s.sentence, round(s.score, 9)) for s in r.offending] == offending and r.offending_sentences == len(offending)
+
+
+def test_the_fit_is_a_maximum_of_the_likelihood():
+    rng = np.random.default_rng(2)
+    n, sentences, features = 60, rng.integers(1, 5, 60), 6
+    first = np.concatenate(([0], np.cumsum(sentences)[:-1]))
+    doc = np.repeat(rng.permutation(n), 3)
+    sentence = first[doc] + rng.integers(0, sentences[doc])
+    _, sentence = np.unique(sentence, return_inverse=True)
+    feature = rng.integers(0, features, len(doc))
+    y = (rng.random(n) < 0.4).astype(float)
+    ridge = 1e-2
+
+    def loss(b, w):
+        clean = np.ones(n)
+        seen = np.zeros(n, int)
+        for s in range(sentence.max() + 1):
+            own = np.flatnonzero(sentence == s)
+            clean[doc[own[0]]] *= 1 - 1 / (1 + np.exp(-(b + w[feature[own]].sum())))
+            seen[doc[own[0]]] += 1
+        clean *= (1 - 1 / (1 + np.exp(-b))) ** (sentences - seen)
+        return np.mean(y * np.log(1 - clean) + (1 - y) * np.log(clean)) - ridge / 2 * (w**2).sum()
+
+    b, w = toxicity.fit_noisy_or(y, sentences, doc, sentence, feature, features, steps=4000, rate=0.02, ridge=ridge)
+    best = loss(b, w)
+    for k in range(features):
+        for step in (-0.05, 0.05):
+            assert loss(b, w + step * (np.arange(features) == k)) < best + 1e-6
+    assert loss(b + 0.05, w) < best + 1e-6 and loss(b - 0.05, w) < best + 1e-6
+
+
 def test_folds_are_those_of_the_contract(spark):
     from zlib import crc32
 
@@ -135,6 +185,68 @@ def test_leaks_match_brute_force(spark):
     assert decontamination.find_leaks(df.limit(0), bench).collect() == [] == decontamination.find_leaks(df, bench.limit(0)).collect()
 
 
+def brute_paraphrases(docs, items, cover=0.8, paraphrase=0.6):
+    """All pairs: a stretch of twice an item's words that holds ``cover`` of it in order, or ``paraphrase`` of it and its last words."""
+    out = set()
+    for d, t in docs:
+        own = words.words(t)
+        for i, text in items:
+            item = words.words(text)
+            answer = words.sentences(text)[-1][-8:]
+            for k in range(max(1, len(own) - 2 * len(item) + 1)):
+                part = own[k : k + 2 * len(item)]
+                n = decontamination.lcs_length(item, part)
+                if n >= cover * len(item) or n >= paraphrase * len(item) and decontamination.lcs_length(answer, part) >= 0.8 * len(answer):
+                    a, b = decontamination.matched_span(item, part)
+                    if b - a + 1 <= 2 * len(item) and (n >= cover * len(item) or decontamination.lcs_length(answer, part[a : b + 1 + len(answer)]) >= 0.8 * len(answer)):
+                        out.add((d, i))
+                        break
+    return out
+
+
+def paraphrased(rng, item, vocabulary):
+    """Swaps, insertions, other words, and two clauses that change places; the last eight words stay."""
+    own, answer = item[:-8], item[-8:]
+    if rng.random() < 0.4:
+        third = len(own) // 4
+        own = own[third : 2 * third] + own[:third] + own[2 * third :]
+    for _ in range(len(own) // 8):
+        k = int(rng.integers(len(own) - 1))
+        own[k], own[k + 1] = own[k + 1], own[k]
+    for _ in range(len(own) // 8):
+        own.insert(int(rng.integers(len(own))), str(rng.choice(vocabulary)))
+    for k in rng.choice(len(own), len(own) // 8, replace=False):
+        own[k] = str(rng.choice(vocabulary))
+    return own + answer
+
+
+def test_paraphrases_match_all_pairs(spark):
+    rng = np.random.default_rng(21)
+    vocabulary = [f"w{i}" for i in range(3000)]
+    weights = 1 / np.arange(1, 3001)
+    some = lambda n: list(rng.choice(vocabulary, n, p=weights / weights.sum()))
+    items = [(i, " ".join(some(int(rng.integers(24, 70))))) for i in range(30)]
+    docs = []
+    for d in range(150):
+        own = some(int(rng.integers(40, 250)))
+        if d % 2:
+            at = int(rng.integers(0, len(own)))
+            own[at:at] = paraphrased(rng, items[d % 30][1].split(), vocabulary)
+        docs.append((d, " ".join(own)))
+    got = {(r.doc_id, r.item_id): r for r in decontamination.find_leaks(spark.createDataFrame(docs, "doc_id long, text string"), spark.createDataFrame(items, "item_id long, text string")).collect()}
+    expected = brute_paraphrases(docs, items)
+    by_answer = [r for r in got.values() if r.coverage < 0.8]
+    print("paraphrases: recall", len(set(got) & expected) / len(expected), "of", len(expected), "by answer", len(by_answer))
+    assert len(expected) >= 50 and len(by_answer) >= 10 and all(r.answer for r in by_answer)
+    assert len(set(got) & expected) >= 0.9 * len(expected) and len(set(got) - expected) <= 1
+
+
+def test_the_end_of_a_long_item_is_not_lost(spark):
+    long = spark.createDataFrame([(1, " ".join(f"a{i}" for i in range(403))), (2, " ".join(f"b{i}" for i in range(405)))], "item_id long, text string")
+    block = next(decontamination._blocks(long, 100, 5, 400))
+    assert [(i, len(own), answer[-1]) for i, own, answer in block] == [(1, 403, b"a402"), (2, 400, b"b399"), (2, 5, b"b404")]
+
+
 def test_op3_finds_the_passages_of_the_tables(spark):
     sf = "/root/testdata/sf0.01"
     docs, items = ([tuple(r) for r in spark.read.parquet(f"{sf}/{t}.parquet").selectExpr(k, "text").collect()] for t, k in (("documents", "doc_id"), ("benchmark", "item_id")))
@@ -273,7 +385,7 @@ def test_stages_hold_what_they_promise(spark, sf):
             seen = set()
             for d in sorted(after):
                 own = [x.strip(" \t\r") for x in (after[d].text or "").split("\n")]
-                own = [x for x in own if len(x) >= 20]
+                own = [x for x in own if x]
                 assert not seen & set(own) and len(set(own)) == len(own)
                 seen |= set(own)
         else:
@@ -288,6 +400,35 @@ def test_stages_hold_what_they_promise(spark, sf):
         docs, before = spark.createDataFrame(list(after.values()), docs.schema), after
 
 
+def test_run_rereads_each_stage(spark, sf):
+    docs = spark.read.parquet(f"{sf}/documents.parquet")
+    for _, stage in corpus_pipeline.STAGES:
+        docs = spark.createDataFrame(stage(spark, docs, sf).collect(), stage(spark, docs, sf).schema)
+    plain = lambda df: sorted((r.doc_id, r.start, r.length, r.ids_crc32, r.doc_tokens) for r in df.collect())
+    got = corpus_pipeline.run(spark, sf)
+    whole = lambda rows: {(r[0], r[4]) for r in rows}
+    assert whole(plain(got)) == whole(plain(docs)) and got.columns == docs.columns
+
+
+def test_stages_with_ids_that_repeat_and_names_that_clash(spark, sf):
+    toxic = spark.read.parquet(f"{sf}/labels.parquet").filter("toxic = 1").join(spark.read.parquet(f"{sf}/documents.parquet"), "doc_id")
+    bad = [r.text for r in toxicity.score(toxic, toxicity.fit(spark.read.parquet(f"{sf}/documents.parquet"), spark.read.parquet(f"{sf}/labels.parquet"))).join(toxic, "doc_id").filter("predicted = 1").orderBy("doc_id").collect()][0]
+    leak = spark.read.parquet(f"{sf}/benchmark.parquet").orderBy("item_id").first().text
+    clean = ["a clean text of several words here", "another clean text of quite other words", "and a third with nothing in common, one hopes"]
+    rows = [(None, clean[0]), (None, bad), (None, leak), (7, clean[1]), (7, clean[2]), (7, clean[2]), (8, clean[1])]
+    schema = "doc_id long, text string, _gone_id int, own_row int, gone int, C0x int, row int"
+    docs = spark.createDataFrame([(a, b, 1, 2, 3, 4, 5) for a, b in rows], schema)
+    real = spark.read.parquet(f"{sf}/documents.parquet").select("doc_id", "text", *[F.lit(k).cast("int").alias(n) for k, n in enumerate(("_gone_id", "own_row", "gone", "C0x", "row"), 1)])
+    left = [r for r in corpus_pipeline.drop_toxic(spark, docs.union(real), sf).collect() if (r.doc_id, r.text) in rows]
+    assert sorted(map(str, left)) == sorted(str(r) for r in docs.collect() if r.text != bad)
+    near = corpus_pipeline.drop_near_copies(spark, docs, sf)
+    assert near.columns == docs.columns and sorted((str(r.doc_id), r.text) for r in near.collect()) == sorted((str(a), b) for a, b in rows[:5])
+    after = corpus_pipeline.drop_leaks(spark, docs, sf)
+    assert after.columns == docs.columns and sorted(map(str, after.collect())) == sorted(str(r) for r in docs.collect() if r.text != leak)
+    for _, stage in corpus_pipeline.STAGES:
+        assert stage(spark, docs.limit(0), sf).collect() == []
+
+
 def test_pipeline_drops_null_and_empty_rows_only_for_cause(spark, sf):
     rows = [(1, None, "en", "s", 0), (2, "", "en", "s", 0), (None, "a clean text of several words here", "en", "s", 34), (3, "another clean text of quite other words", "en", "s", 39)]
     docs = spark.createDataFrame(rows, "doc_id long, text string, lang string, source string, n_chars long")
