@@ -5,6 +5,8 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
+from ..session import shared_folder
+
 
 def traverse(nodes: DataFrame, edges: DataFrame, starts: DataFrame, relationship: str | None, max_depth: int = 3, reverse: bool = False) -> DataFrame:
     """Breadth first from ``starts`` (id): node_id, depth (the least number of hops, 0 for a start).
@@ -17,8 +19,13 @@ def traverse(nodes: DataFrame, edges: DataFrame, starts: DataFrame, relationship
     hops = edges.filter(F.col("relationship") == relationship) if relationship is not None else edges
     hops = hops.select(F.col(a).alias("node_id"), F.col(b).alias("next_id")).join(nodes.select(F.col("id").alias("next_id")), "next_id", "left_semi")
     seen = starts.select(F.col("id").cast("long").alias("node_id"), F.lit(0).alias("depth")).distinct()
+    if max_depth > 1:
+        shared_folder(edges.sparkSession, "walk")  # sees to it that there is a checkpoint folder
+        hops = hops.checkpoint()
     frontier = seen
     for depth in range(1, max_depth + 1):
+        if depth > 1:
+            frontier, seen = frontier.checkpoint(), seen.checkpoint()
         reached = frontier.join(hops, "node_id").select(F.col("next_id").alias("node_id")).distinct()
         frontier = reached.join(seen, "node_id", "left_anti").select("node_id", F.lit(depth).alias("depth"))
         seen = seen.unionByName(frontier)
@@ -80,7 +87,7 @@ def link_embeddings(links: DataFrame) -> DataFrame:
 class GraphStore:
     """Nodes, edges and a change log of one graph; every change makes new DataFrames.
 
-    Snapshots are the log's position: ``as_of`` reads them, so a name can be used again after a restore.
+    Snapshots are folders on storage, so a name can be used again after a restore, and they outlive the session.
     """
 
     NODES = "id long, type string, properties string"
@@ -91,7 +98,7 @@ class GraphStore:
         self.spark, self.audit = spark, audit
         self.nodes, self.edges = spark.createDataFrame([], self.NODES), spark.createDataFrame([], self.EDGES)
         self.log = spark.createDataFrame([], self.LOG)
-        self.snapshots: dict[str, tuple[DataFrame, DataFrame]] = {}
+        self.snapshots: dict[str, str] = {}
 
     def _next(self, df: DataFrame) -> int:
         return (df.agg(F.max("id")).first()[0] or 0) + 1
@@ -127,10 +134,13 @@ class GraphStore:
         self._append("node", old.select("id", F.col("properties").alias("before")), "Update", by)
         self.nodes = self.nodes.withColumn("properties", F.when(F.col("id") == node_id, F.lit(properties)).otherwise(F.col("properties")))
 
-    def set_field(self, node_id: int, key: str, value) -> None:
+    def set_field(self, node_id: int, key: str, value, by: str | None = None) -> None:
+        """One property; logged only if ``by`` is given."""
         import json
 
         row = self.get_node(node_id)
+        if by is not None:
+            self._append("node", self.nodes.filter(F.col("id") == node_id).select("id", F.col("properties").alias("before")), "Update", by)
         self.nodes = self.nodes.withColumn("properties", F.when(F.col("id") == node_id, F.lit(json.dumps(json.loads(row.properties) | {key: value}))).otherwise(F.col("properties")))
 
     def delete_node(self, node_id: int, by: str = "system") -> None:
@@ -139,7 +149,8 @@ class GraphStore:
         self._append("node", old.select("id", F.col("properties").alias("before")), "Delete", by)
         self.nodes = self.nodes.filter(F.col("id") != node_id)
 
-    def delete_edge(self, edge_id: int) -> None:
+    def delete_edge(self, edge_id: int, by: str = "system") -> None:
+        self._append("edge", self.edges.filter(F.col("id") == edge_id).select("id", F.col("properties").alias("before")), "Delete", by)
         self.edges = self.edges.filter(F.col("id") != edge_id)
 
     def get_node(self, node_id: int):
@@ -148,12 +159,33 @@ class GraphStore:
             raise KeyError(node_id)
         return row
 
+    def get_edge(self, edge_id: int):
+        row = self.edges.filter(F.col("id") == edge_id).first()
+        if row is None:
+            raise KeyError(edge_id)
+        return row
+
     def find_by_type(self, kind: str) -> DataFrame:
         return self.nodes.filter(F.col("type") == kind)
 
     def snapshot(self, name: str) -> tuple[int, int]:
-        self.snapshots[name] = (self.nodes, self.edges)
+        """Writes nodes and edges to storage under a name; the store goes on from what was written."""
+        at = shared_folder(self.spark, "snapshot")
+        self.nodes.write.parquet(f"{at}/nodes")
+        self.edges.write.parquet(f"{at}/edges")
+        self.snapshots[name] = at
+        self.restore(name)
         return self.nodes.count(), self.edges.count()
 
     def restore(self, name: str) -> None:
-        self.nodes, self.edges = self.snapshots[name]
+        at = self.snapshots[name]
+        self.nodes, self.edges = self.spark.read.parquet(f"{at}/nodes"), self.spark.read.parquet(f"{at}/edges")
+
+    def list_snapshots(self) -> DataFrame:
+        """name, folder, node_count, edge_count, in order of their making."""
+        rows = [(n, at, self.spark.read.parquet(f"{at}/nodes").count(), self.spark.read.parquet(f"{at}/edges").count()) for n, at in self.snapshots.items()]
+        return self.spark.createDataFrame(rows, "name string, folder string, node_count long, edge_count long")
+
+    def delete_snapshot(self, name: str) -> None:
+        """A missing one is an error. Its files stay for readers that still have them."""
+        del self.snapshots[name]

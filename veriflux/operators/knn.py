@@ -1,8 +1,9 @@
 """Exact and approximate nearest neighbours.
 
-The query set is a stated, bounded one: its size is checked, it is sent to each task in
-blocks, and each task keeps the k best of its part of the bank for each query. What is
-shuffled is k rows a query and task, whatever the bank's size; the bank itself never moves.
+A query set of up to ``MAX_QUERIES`` vectors is sent to each task in blocks, and each task
+keeps the k best of its part of the bank for each query. What is shuffled is k rows a query and
+task, whatever the bank's size; the bank itself never moves. The count is checked; more queries
+than that go through ``knn_join``, which deals both sides into blocks, with nothing on the driver.
 """
 
 from __future__ import annotations
@@ -18,6 +19,8 @@ from ..session import ship_package
 
 #: Queries in a block that is sent to each task, and floats in it at most.
 BLOCK_QUERIES, BLOCK_FLOATS = 4096, 1 << 24
+#: Queries that are sent to all tasks, and vectors of either side in a task of the block join.
+MAX_QUERIES, JOIN_BLOCK = 65_536, 8_192
 FOUND = "query_id long, vec_id long, d2 double"
 
 
@@ -104,9 +107,51 @@ def knn(queries: DataFrame, bank: DataFrame, k: int, exclude_self: bool = False,
     bank = bank.select("vec_id", "embedding")
     if subset is not None and subset.limit(1).count():
         bank = bank.join(subset.select("vec_id"), "vec_id", "left_semi")
-    found = _search(queries, bank, k, exclude_self, None)
-    rank = F.row_number().over(Window.partitionBy("query_id").orderBy("d2", "vec_id"))
-    return found.select("query_id", "vec_id", rank.alias("rank"), "d2").filter(F.col("rank") <= k)
+    if queries.limit(MAX_QUERIES + 1).count() > MAX_QUERIES:
+        key, vector = queries.columns[:2]
+        return knn_join(queries.select(F.col(key).alias("query_id"), F.col(vector).alias("embedding")), bank, k, exclude_self=exclude_self)
+    return _best(_search(queries, bank, k, exclude_self, None), k)
+
+
+def _best(found: DataFrame, k: int, *keys: str) -> DataFrame:
+    rank = F.row_number().over(Window.partitionBy(*keys, "query_id").orderBy("d2", "vec_id"))
+    return found.select(*keys, "query_id", "vec_id", rank.alias("rank"), "d2").filter(F.col("rank") <= k)
+
+
+def knn_join(queries: DataFrame, bank: DataFrame, k: int, keys: tuple[str, ...] = (), exclude_self: bool = False, block: int = JOIN_BLOCK) -> DataFrame:
+    """The k nearest of ``bank`` (keys, vec_id, embedding) to each of ``queries`` (keys, query_id, embedding) with the same keys, of any number.
+
+    Both sides of a key are dealt into blocks of about ``block`` vectors; a task holds one block of each, and gives
+    k rows a query. So no key is one task's work, and what is shuffled beside the blocks is k rows a query and block.
+    """
+    ship_package(bank.sparkSession)
+    keys = list(keys)
+    q = queries.select(*keys, "query_id", F.col("embedding").alias("q"))
+    own = [F.col(c).alias(c) for c in keys]  # both sides may come from one table
+    b = bank.select(*own, "vec_id", "embedding")
+    blocks = lambda df, name: df.groupBy(*keys).agg(F.ceil(F.count(F.lit(1)) / block).cast("int").alias(name))
+    sizes = blocks(q, "nq").join(blocks(b, "nb"), keys) if keys else blocks(q, "nq").crossJoin(blocks(b, "nb"))  # one row
+    join = lambda df: df.join(sizes, keys) if keys else df.crossJoin(F.broadcast(sizes))  # noqa: E731  one row
+    deal = lambda id_, n: F.pmod(F.xxhash64(id_), F.col(n)).cast("int")
+    every = lambda n: F.explode(F.sequence(F.lit(0), F.col(n) - 1))
+    q = join(q).filter("nq > 0 and nb > 0").select(*keys, deal("query_id", "nq").alias("i"), every("nb").alias("j"), "query_id", "q")
+    b = join(b).filter("nq > 0 and nb > 0").select(*own, every("nq").alias("i"), deal("vec_id", "nb").alias("j"), "vec_id", "embedding")
+    names, kinds = keys + ["query_id", "vec_id", "d2"], dict(queries.dtypes)
+    schema = ", ".join([f"`{c}` {kinds[c]}" for c in keys] + [FOUND])
+
+    def run(left: pa.Table, right: pa.Table) -> pa.Table:
+        if not left.num_rows or not right.num_rows:
+            return pa.table({c: left.column(c).slice(0, 0) for c in keys} | {"query_id": pa.array([], pa.int64()), "vec_id": pa.array([], pa.int64()), "d2": pa.array([], pa.float64())})
+        ids, x = left.column("query_id").to_numpy(), _matrix(left.column("q"))
+        out = []
+        for at in range(0, len(ids), 1024):
+            part = pa.RecordBatch.from_arrays([right.column(c).combine_chunks() for c in ("vec_id", "embedding")], ["vec_id", "embedding"])
+            out += _nearest(ids[at : at + 1024], x[at : at + 1024], k, exclude_self, None)([part])
+        found = pa.Table.from_batches(out)
+        return pa.table([pa.chunked_array([pa.array([left.column(c)[0].as_py()] * found.num_rows, left.schema.field(c).type)]) for c in keys] + found.columns, names)
+
+    group = [*keys, "i", "j"]
+    return _best(q.groupBy(*group).cogroup(b.groupBy(*group)).applyInArrow(run, schema), k, *keys)
 
 
 def range_search(queries: DataFrame, bank: DataFrame, radius: float = 1.0, exclude_self: bool = False) -> DataFrame:

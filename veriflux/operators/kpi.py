@@ -65,6 +65,11 @@ def throughput(df: DataFrame, by: str, processed: str) -> DataFrame:
     return df.withColumn("fps", F.try_divide(F.col(processed) - F.lag(processed).over(w), seconds - F.lag(seconds).over(w)))
 
 
+def in_flight(stages: DataFrame) -> DataFrame:
+    """What is still under way: processed less failed and dropped."""
+    return stages.withColumn("in_flight", F.col("processed") - F.col("failed") - F.col("dropped"))
+
+
 def confusion_cost(truth: DataFrame, fp_cost: float = 1.0, fn_cost: float = 5.0) -> DataFrame:
     """Cost a frame of wrong verdicts (machine_ng against is_ng); 0 of no frames."""
     fp, fn = F.count_if(F.col("machine_ng") & ~F.col("is_ng")), F.count_if(~F.col("machine_ng") & F.col("is_ng"))

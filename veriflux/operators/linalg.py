@@ -12,7 +12,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from ..session import ship_package
-from .knn import _matrix, range_search
+from .knn import MAX_QUERIES, _matrix
 
 
 def greedy_indices(x: np.ndarray, n: int, first: int = 0) -> np.ndarray:
@@ -50,12 +50,28 @@ def greedy_coreset(bank: DataFrame, n: int, key: str, max_rows: int = 50_000) ->
     return once.groupBy(key).applyInPandas(lambda pdf: select(pdf.drop(columns="pick")), schema).drop("embedding")
 
 
+def least_distances(bank: DataFrame, core: DataFrame, most: int = MAX_QUERIES) -> DataFrame:
+    """Of each vector of ``bank`` the squared distance to the nearest of ``core``, of ``most`` vectors at most: vec_id, d2."""
+    ship_package(bank.sparkSession)
+    rows = core.select("vec_id", "embedding").limit(most + 1).toArrow()
+    if rows.num_rows > most:
+        raise ValueError(f"a coreset of more than {most} vectors")
+    c = _matrix(rows.column("embedding"))
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            for at in range(0, batch.num_rows, 1024):
+                part = batch.slice(at, 1024)
+                x = _matrix(part.column(1))
+                near = ((x * x).sum(axis=1)[:, None] + (c * c).sum(axis=1)[None, :] - 2 * x @ c.T).argmin(axis=1)
+                yield pa.RecordBatch.from_arrays([part.column(0), pa.array(((x - c[near]) ** 2).sum(axis=1))], ["vec_id", "d2"])
+
+    return bank.select("vec_id", "embedding").mapInArrow(run, "vec_id long, d2 double")
+
+
 def coverage(bank: DataFrame, coreset: DataFrame) -> DataFrame:
-    """Least, mean and largest distance of a bank's vectors to its (bounded) coreset."""
-    ids = [r.vec_id for r in coreset.select("vec_id").collect()]
-    core = bank.filter(F.col("vec_id").isin(ids)).select("vec_id", "embedding")
-    # the coreset is the query set, so each task sees it whole; the nearest of each vector is a minimum over queries
-    found = range_search(core, bank, float("inf")).groupBy("vec_id").agg(F.sqrt(F.min("d2")).alias("d"))
+    """Least, mean and largest distance of a bank's vectors to its (bounded) coreset (vec_id). One pass, no pairs."""
+    found = least_distances(bank, bank.join(coreset.select("vec_id"), "vec_id", "left_semi")).select(F.sqrt("d2").alias("d"))
     return found.agg(F.min("d").alias("least"), F.avg("d").alias("mean"), F.max("d").alias("largest"))
 
 
@@ -118,6 +134,17 @@ def fit_whitening(bank: DataFrame, k: int) -> np.ndarray:
     return np.where(p.eigenvalues[:, None] > 1e-12, p.components / np.sqrt(np.maximum(p.eigenvalues, 1e-12))[:, None], 0)
 
 
+def whitened_bank(bank: DataFrame, drop_k: int = 0, k: int | None = None) -> tuple[np.ndarray, DataFrame]:
+    """The matrix of the components after the first ``drop_k``, by the root of their variance, and the bank under it (not centred)."""
+    dim = len(bank.select("embedding").first().embedding)
+    kept = min(dim - drop_k, dim if k is None else k)
+    if kept < 1:
+        raise ValueError("no component is left")
+    p = fit_pca(bank, drop_k + kept)
+    matrix = p.components[drop_k:] / np.sqrt(p.eigenvalues[drop_k:, None] + 1e-6)
+    return matrix, project(bank, matrix)
+
+
 def project(bank: DataFrame, matrix: np.ndarray, mean: np.ndarray | None = None) -> DataFrame:
     """vec_id, embedding: the matrix times each vector (less ``mean``, if given). The matrix is small and goes with the tasks."""
     ship_package(bank.sparkSession)

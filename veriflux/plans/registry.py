@@ -10,7 +10,7 @@ from pyspark.sql import DataFrame, SparkSession
 Query = Callable[[SparkSession, str], DataFrame]
 
 FLAGSHIP = "entry"
-MODULES = ("retrieval_queries", "graph_queries", "rule_queries", "stat_queries", "kpi_queries")
+MODULES = ("retrieval_queries", "graph_queries", "rule_queries", "stat_queries", "kpi_queries", "image_queries", "detector_queries", "store_queries")
 _queries: dict[str, Query] = {}
 _sql: dict[str, str] = {}
 

@@ -9,7 +9,7 @@ from ..operators import rules as E
 from ..sources import tables
 from . import frames as S
 from .registry import query
-from .topology import load_topology, run_topology
+from .topology import load_topology, run_tasks, run_topology, stage_metrics
 
 LONG = """SELECT frame_id, unnest(['high_score', 'mid_score', 'noisy', 'late_view', 'missing_fact', 'odd_purchase']) AS rule, unnest([{}]) AS matched FROM {}"""
 
@@ -96,14 +96,24 @@ def t9_evidence(spark, sf_dir):
     return T.evidence(reasoned(spark, sf_dir), ["surface_id", "event_type"]).drop("step")
 
 
-@query()
+BRANCH = "CASE WHEN event_type = 'error' THEN CASE WHEN score <= 0.2 THEN '/event_type=error/score=<=0.2' WHEN score > 0.9 THEN '/event_type=error/score=>0.9' ELSE '/event_type=error/score=default' END WHEN event_type = 'purchase' THEN '/event_type=purchase' ELSE '/event_type=default' END"
+
+
+@query(ALL + f"SELECT frame_id, CAST(unnest(range(8)) AS INTEGER) AS step, unnest(['rule:high_score', 'rule:mid_score', 'rule:noisy', 'rule:late_view', 'rule:missing_fact', 'rule:odd_purchase', 'branch' || {BRANCH}, 'score']) AS what, unnest([0.0::DOUBLE, 0, 0, 0, 0, 0, 0, severity]) AS value FROM reasoned")
 def t8_trace(spark, sf_dir):
-    return reasoned(spark, sf_dir).select("frame_id", F.posexplode(F.concat(F.transform("resolved", lambda r: F.concat_ws(":", F.lit("rule"), r["rule"])), F.array(F.concat(F.lit("branch"), "path"), F.concat(F.lit("score:"), F.col("severity").cast("string"))))).alias("step", "what"))
+    """The steps of each verdict in order: rules, the tree's branch, the score."""
+    step = lambda what, value: F.struct(what.alias("what"), value.cast("double").alias("value"))
+    steps = F.concat(F.transform("resolved", lambda r: step(F.concat_ws(":", F.lit("rule"), r["rule"]), F.lit(0))), F.array(step(F.concat(F.lit("branch"), "path"), F.lit(0)), step(F.lit("score"), F.col("severity"))))
+    return reasoned(spark, sf_dir).select("frame_id", F.posexplode(steps).alias("step", "s")).select("frame_id", "step", "s.what", "s.value")
 
 
-@query()
+@query(ALL + """SELECT frame_id, 'default' AS sku_id, 'pos_' || position_id AS serial_number, verdict,
+  array_to_string([x FOR x IN [CASE WHEN m_high THEN 'high_score' END, CASE WHEN r_mid THEN 'mid_score' END, CASE WHEN r_noisy THEN 'noisy' END, CASE WHEN m_late THEN 'late_view' END, CASE WHEN r_odd THEN 'odd_purchase' END] IF x IS NOT NULL], ',') AS defects FROM reasoned""")
 def s10_reports(spark, sf_dir):
-    return tables.reports(reasoned(spark, sf_dir))
+    """The reports as JSON, read again."""
+    kind = "sku_id string, serial_number string, verdict string, defects array<struct<label string, severity string, confidence double>>"
+    out = tables.reports(reasoned(spark, sf_dir)).select("frame_id", F.from_json("report", kind).alias("r"))
+    return out.select("frame_id", "r.sku_id", "r.serial_number", "r.verdict", F.array_join("r.defects.label", ",").alias("defects"))
 
 
 TOPOLOGY = """
@@ -131,3 +141,29 @@ def p1_topology(spark, sf_dir):
         "Export": lambda df, config: df.select("frame_id", "verdict"),
     }
     return run_topology(load_topology(TOPOLOGY), S.frames(spark, sf_dir), transforms)
+
+
+@query(ALL + "SELECT 'frames' AS stage, count(*) AS taken, count(*) AS processed, 0 AS dropped FROM reasoned UNION ALL SELECT s, (SELECT count(*) FROM reasoned), (SELECT count(*) FROM reasoned), 0 FROM (VALUES ('clean'), ('embed')) t(s) UNION ALL SELECT 'detect', count(*), count(*) FILTER (score > 0.25), count(*) FILTER (NOT score > 0.25) FROM reasoned UNION ALL SELECT s, (SELECT count(*) FILTER (score > 0.25) FROM reasoned), (SELECT count(*) FILTER (score > 0.25) FROM reasoned), 0 FROM (VALUES ('rules'), ('verdicts'), ('out')) t(s)")
+def p8_stage_metrics(spark, sf_dir):
+    node, mapping = S.tree()
+    transforms = {"Detect": lambda df, config: df.filter(F.col("score") > config["over"]), "RuleEval": lambda df, config: E.evaluate(df, S.rules()), "Reason": lambda df, config: T.reason(df, node, mapping)}
+    return stage_metrics(load_topology(TOPOLOGY), S.frames(spark, sf_dir), transforms)
+
+
+@query("SELECT * FROM (VALUES ('all', 'done', 10), ('bad', 'failed', NULL), ('half', 'done', 5), ('after', 'skipped', NULL), ('later', 'skipped', NULL)) t(task, status, result)")
+def p13_task_graph(spark, sf_dir):
+    """Tasks after those they depend on, each once; what depends on a failed one is skipped."""
+    done = run_tasks({"all": ((), lambda: 10), "half": (("all",), lambda n: n // 2), "bad": (("half",), lambda n: n // 0), "after": (("bad", "all"), lambda a, b: b), "later": (("after",), lambda a: a)})
+    return spark.createDataFrame([(n, s, r if s == "done" else None) for n, (s, r) in done.items()], "task string, status string, result int")
+
+
+LITERALS = [("true", "bool"), ("False", "bool"), ("3.5", "number"), ("-2", "number"), ("12", "number"), ("abc", "string"), ("1.2.3", "string"), ("", "string")]
+
+
+@query("SELECT * FROM (VALUES ('true', 'bool', 1.0::DOUBLE), ('False', 'bool', 0.0), ('3.5', 'number', 3.5), ('-2', 'number', -2.0), ('12', 'number', 12.0), ('abc', 'string', NULL), ('1.2.3', 'string', NULL), ('', 'string', NULL)) t(text, kind, number)")
+def e2_literals(spark, sf_dir):
+    rows = []
+    for text, _ in LITERALS:
+        v = E.literal(text)
+        rows.append((text, "bool" if isinstance(v, bool) else "number" if isinstance(v, float) else "string", None if isinstance(v, str) else float(v)))
+    return spark.createDataFrame(rows, "text string, kind string, number double")

@@ -8,9 +8,7 @@ from pyspark.sql import functions as F
 from ..functions.vectors import l2_normalised
 from ..operators import image as I
 from ..operators import knn as K
-from ..operators import linalg as L
 from ..operators import stats as V
-from ..sources import models
 from . import frames as S
 from .registry import query
 from .retrieval_queries import d2_sql, nearest_sql
@@ -150,23 +148,6 @@ def v13_hybrid_score(spark, sf_dir):
     return d.join(pca, "vec_id").select("vec_id", F.round(0.5 * F.col("d2") + 0.5 * F.try_divide(F.col("pca"), top), 6).alias("score"))
 
 
-@query()
-def v2_greedy_coreset(spark, sf_dir):
-    return L.greedy_coreset(S.bank(spark, sf_dir), 10, "label")
-
-
-@query()
-def v4_fit_pca(spark, sf_dir):
-    p = L.fit_pca(S.bank(spark, sf_dir), 4)
-    return spark.createDataFrame([(i, round(float(v), 6)) for i, v in enumerate(p.eigenvalues)], "component int, eigenvalue double")
-
-
-@query()
-def v6_whitened(spark, sf_dir):
-    bank = S.bank(spark, sf_dir)
-    return L.project(bank, L.fit_whitening(bank, 4)).select("vec_id", F.transform("embedding", lambda x: F.round(x, 5)).alias("embedding"))
-
-
 def _maps(spark, sf_dir):
     return S.bank(spark, sf_dir).select(F.col("vec_id").alias("frame_id"), F.transform("embedding", lambda x: x.cast("double")).alias("scores"))
 
@@ -187,21 +168,3 @@ def i13_upsample(spark, sf_dir):
                 yield pd.DataFrame({"frame_id": k, "y": np.repeat(np.arange(16), 16), "x": np.tile(np.arange(16), 16), "value": out.ravel().round(6)})
 
     return _maps(spark, sf_dir).mapInPandas(run, "frame_id long, y int, x int, value double")
-
-
-@query()
-def i15_components(spark, sf_dir):
-    out = I.detect(_maps(spark, sf_dir), (8, 8), (16, 16), 1.0, 0.05)
-    return out.select("frame_id", F.round("image_score", 6).alias("image_score"), "region", "x", "y", "w", "h", "area", F.round("max_score", 6).alias("max_score"))
-
-
-@query()
-def s8_pca_file(spark, sf_dir):
-    p = models.pca_from_bytes(models.pca_bytes(L.fit_pca(S.bank(spark, sf_dir), 4)))
-    return p.to_df(spark)
-
-
-@query()
-def s12_heatmaps(spark, sf_dir):
-    out = models.heatmaps(_maps(spark, sf_dir), (8, 8))
-    return out.select("frame_id", F.length("ppm").alias("n_bytes"), F.crc32("ppm").alias("crc32"))

@@ -9,6 +9,7 @@ from dataclasses import dataclass, field
 from graphlib import CycleError, TopologicalSorter
 
 from pyspark.sql import DataFrame
+from pyspark.sql import functions as F
 
 #: What each type of stage takes and gives.
 STAGE_TYPES = {
@@ -76,6 +77,39 @@ def in_order(stages: list[Stage]) -> list[Stage]:
     return [by_id[i] for i in order]
 
 
+def stage_metrics(stages: list[Stage], frames: DataFrame, transforms: Mapping[str, Callable[[DataFrame, dict], DataFrame]]) -> DataFrame:
+    """Of each stage how many rows it took, gave and dropped: stage, taken, processed, dropped."""
+    done, out = {}, None
+    for s in in_order(stages):
+        given = frames
+        for i, d in enumerate(s.depends_on):
+            given = done[d] if i == 0 else given.unionByName(done[d])
+        done[s.id] = transforms[s.type](given, s.config) if s.type in transforms else given
+        row = given.agg(F.count(F.lit(1)).alias("taken")).crossJoin(done[s.id].agg(F.count(F.lit(1)).alias("processed")))  # one row
+        row = row.select(F.lit(s.id).alias("stage"), "taken", "processed", F.greatest(F.col("taken") - F.col("processed"), F.lit(0)).alias("dropped"))
+        out = row if out is None else out.unionByName(row)
+    return out
+
+
+def run_tasks(tasks: Mapping[str, tuple[tuple[str, ...], Callable[..., object]]]) -> dict[str, tuple[str, object]]:
+    """Run each task after those it depends on, once, with their results: name, to (done, result), (failed, error) or (skipped, the task that failed)."""
+    order = list(TopologicalSorter({n: deps for n, (deps, _) in tasks.items()}).static_order())
+    if missing := set(order) - set(tasks):
+        raise ValueError(f"unknown tasks {sorted(missing)}")
+    out: dict[str, tuple[str, object]] = {}
+    for name in order:
+        deps, run = tasks[name]
+        bad = next((d if out[d][0] == "failed" else out[d][1] for d in deps if out[d][0] != "done"), None)
+        if bad is not None:
+            out[name] = ("skipped", bad)
+            continue
+        try:
+            out[name] = ("done", run(*[out[d][1] for d in deps]))
+        except Exception as e:  # a task's failure is a result
+            out[name] = ("failed", f"{type(e).__name__}: {e}")
+    return out
+
+
 def run_topology(stages: list[Stage], frames: DataFrame, transforms: Mapping[str, Callable[[DataFrame, dict], DataFrame]]) -> DataFrame:
     """Chain the transforms of the stages' types; a type without one passes rows on. What the Export stage gives is returned.
 

@@ -54,6 +54,20 @@ def heatmap(scores: np.ndarray, h: int = 518, w: int = 518) -> bytes:
     return b"P6\n%d %d\n255\n" % (w, h) + (rgb * 255).astype(np.uint8)[rows][:, cols].tobytes()
 
 
+def write_heatmaps(frames: DataFrame, folder: str, grid: tuple[int, int], size: tuple[int, int] = (518, 518), key: str = "frame_id") -> None:
+    """A file ``key``.ppm of each frame with a grid; tasks write them, to a file system they share."""
+    from pyarrow import fs
+
+    def write(rows):
+        store, path = fs.FileSystem.from_uri(folder)
+        store.create_dir(path, recursive=True)
+        for r in rows:
+            with store.open_output_stream(f"{path}/{r[key]}.ppm") as out:
+                out.write(bytes(r.ppm))
+
+    heatmaps(frames, grid, size, key).filter("ppm is not null").foreachPartition(write)
+
+
 def heatmaps(frames: DataFrame, grid: tuple[int, int], size: tuple[int, int] = (518, 518), key: str = "frame_id", scores: str = "scores") -> DataFrame:
     """Score grids (arrays, row by row) as pictures: key, ppm. An empty or null grid gives null."""
     ship_package(frames.sparkSession)

@@ -44,7 +44,7 @@ def scan_images(spark: SparkSession, folder: str) -> DataFrame:
     return files.select("path", "length", "modificationTime").orderBy("path")
 
 
-def read_bank(spark: SparkSession, path: str, dim: int) -> DataFrame:
+def read_bank(spark: SparkSession, path: str | list[str], dim: int) -> DataFrame:
     """Raw little-endian float32 files of whole vectors: file, row (from 0), embedding."""
     ship_package(spark)
 
@@ -69,6 +69,85 @@ def write_bank(bank: DataFrame, path: str, by: tuple[str, ...] = ()) -> None:
     (writer.partitionBy(*by) if by else writer).parquet(path)
 
 
+def bank_bytes(vectors: np.ndarray) -> bytes:
+    """Vectors as raw little-endian float32; an empty bank is an error."""
+    if not len(vectors):
+        raise ValueError("an empty bank is not written")
+    return np.ascontiguousarray(vectors, "<f4").tobytes()
+
+
+def bank_files(bank: DataFrame, by: list[str]) -> DataFrame:
+    """Raw float32 files of banks of bounded size, as rows: the keys, n, dim, content; vectors in order of ``vec_id``."""
+    ship_package(bank.sparkSession)
+    kinds = dict(bank.dtypes)
+
+    def run(pdf):
+        import pandas as pd
+
+        x = np.stack(pdf.sort_values("vec_id")["embedding"].to_numpy())
+        return pd.DataFrame({**{k: [pdf[k].iloc[0]] for k in by}, "n": [len(x)], "dim": [x.shape[1]], "content": [bank_bytes(x)]})
+
+    return bank.select(*by, "vec_id", "embedding").groupBy(*by).applyInPandas(run, ", ".join(f"`{k}` {kinds[k]}" for k in by) + ", n long, dim int, content binary")
+
+
+def write_bank_files(bank: DataFrame, folder: str, surface: str = "surface_id", position: str = "position_id") -> str:
+    """Files position_N.f32 in a folder for each surface, and beside them coreset.yaml, which lists a surface's banks. The folder."""
+    from pyarrow import fs
+
+    def write(rows):
+        import yaml
+
+        listed: dict = {}
+        for r in rows:
+            listed.setdefault(str(r[surface]), []).append((int(r[position]), bytes(r.content)))
+        for name, banks in listed.items():
+            store, path = fs.FileSystem.from_uri(f"{folder}/{name}")
+            store.create_dir(path, recursive=True)
+            for number, content in banks:
+                with store.open_output_stream(f"{path}/position_{number}.f32") as out:
+                    out.write(content)
+            entries = [{"position": number, "path": f"position_{number}.f32"} for number, _ in sorted(banks)]
+            with store.open_output_stream(f"{path}/coreset.yaml") as out:
+                out.write(yaml.safe_dump({"surface": name, "banks": entries}, sort_keys=False).encode())
+
+    files = bank_files(bank, [surface, position])
+    files.repartition(F.col(surface)).foreachPartition(write)  # a surface's few banks go together
+    return folder
+
+
+def read_bank_manifest(spark: SparkSession, path: str) -> DataFrame:
+    """Banks that coreset.yaml files list: surface_id, position_id, path (absolute). A file needs 'surface' and a list 'banks'."""
+    import yaml
+
+    rows = []
+    for f in spark.read.format("binaryFile").option("recursiveFileLookup", "true").option("pathGlobFilter", "coreset.yaml").load(path).select("path", "content").toLocalIterator():
+        doc = yaml.safe_load(bytes(f.content))
+        if not isinstance(doc, dict) or "surface" not in doc or not isinstance(doc.get("banks"), list):
+            raise ValueError(f"{f.path}: a bank manifest has 'surface' and a list 'banks'")
+        base = f.path.rsplit("/", 1)[0]
+        rows += [(str(doc["surface"]), int(b["position"]), p if (p := str(b["path"])).startswith("/") else f"{base}/{p}") for b in doc["banks"]]
+    return spark.createDataFrame(rows, "surface_id string, position_id int, path string")
+
+
+def read_banks(spark: SparkSession, manifest: DataFrame, dim: int) -> DataFrame:
+    """The vectors of the banks a manifest lists: surface_id, position_id, row, embedding."""
+    paths = [r.path for r in manifest.select("path").distinct().collect()]  # as many as there are banks
+    found = read_bank(spark, paths, dim)
+    plain = lambda c: F.regexp_replace(c, "^file:/+", "/")
+    return found.join(F.broadcast(manifest.withColumnRenamed("path", "listed")), plain(F.col("file")) == plain(F.col("listed"))).select("surface_id", "position_id", "row", "embedding")
+
+
+def read_metadata(path: str) -> dict:
+    """A YAML file as it is; a missing or malformed one is an error that names it."""
+    import yaml
+
+    try:
+        with open(path, encoding="utf-8") as f:
+            return yaml.safe_load(f) or {}
+    except (OSError, yaml.YAMLError) as e:
+        raise ValueError(f"{path}: {e}") from None
+
+
 def reports(results: DataFrame) -> DataFrame:
     """Inspection reports as JSON: sku_id, serial_number, verdict and the defects of matched rules."""
     defects = F.transform(F.filter("resolved", lambda r: r["matched"]), lambda r: F.struct(r["rule"].alias("label"), F.col("verdict").alias("severity"), F.round("score", 6).alias("confidence")))
