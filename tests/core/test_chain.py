@@ -144,6 +144,22 @@ def test_files_with_faults_are_named(spark, tmp_path):
         tables.bank_bytes(np.zeros((0, 4)))
 
 
+def test_one_pass_a_pick_makes_the_same_picks(spark):
+    x = np.random.default_rng(3).normal(size=(60, 4)).astype(np.float32)
+    bank = bank_rows(spark, x, key=0).repartition(5)
+    got = [r.vec_id for r in linalg.exact_coreset(bank, 9).orderBy("pick").collect()]
+    assert got == [r.vec_id for r in linalg.greedy_coreset(bank, 9, "key").orderBy("pick").collect()]
+    assert len(linalg.exact_coreset(bank.limit(3), 9).collect()) == 3 and linalg.exact_coreset(bank.limit(0), 9).collect() == []
+
+
+def test_index_files_give_what_the_index_gives(spark, tmp_path):
+    x = np.random.default_rng(6).normal(size=(120, 4)).astype(np.float32)
+    bank = bank_rows(spark, x)
+    found = [sorted(map(tuple, knn.IvfIndex(bank, nlist=8, folder=f).search(bank.limit(10), 3, nprobe=2).collect())) for f in (None, str(tmp_path / "index"))]
+    assert found[0] == found[1] and len(found[0]) == 30
+    assert len(list((tmp_path / "index").glob("cell=*"))) <= 8
+
+
 def test_greedy_picks_are_the_furthest():
     x = np.random.default_rng(9).normal(size=(40, 3))
     picks = linalg.greedy_indices(x, 8)

@@ -11,27 +11,34 @@ from ..session import shared_folder
 def traverse(nodes: DataFrame, edges: DataFrame, starts: DataFrame, relationship: str | None, max_depth: int = 3, reverse: bool = False) -> DataFrame:
     """Breadth first from ``starts`` (id): node_id, depth (the least number of hops, 0 for a start).
 
-    One join a hop, each with the nodes found in the hop before alone; a node is expanded once. Edges to
-    missing nodes lead nowhere. The frontier is deduplicated before it is joined, so a
+    One join a hop, each with the nodes found in the hop before alone; a node is expanded once, and edges and
+    hops are written once. Edges to missing nodes lead nowhere. The frontier is deduplicated before it is joined, so a
     hub costs one partial aggregate and not one task.
     """
     a, b = ("target_id", "source_id") if reverse else ("source_id", "target_id")
     hops = edges.filter(F.col("relationship") == relationship) if relationship is not None else edges
     hops = hops.select(F.col(a).alias("node_id"), F.col(b).alias("next_id")).join(nodes.select(F.col("id").alias("next_id")), "next_id", "left_semi")
     seen = starts.select(F.col("id").cast("long").alias("node_id"), F.lit(0).alias("depth")).distinct()
-    if max_depth > 1:
-        shared_folder(edges.sparkSession, "walk")  # sees to it that there is a checkpoint folder
-        hops = hops.checkpoint()
-    frontier = seen
+    if max_depth < 1:
+        return seen
+    hops = written(hops) if max_depth > 1 else hops
+    frontier = seen = written(seen) if max_depth > 1 else seen
     for depth in range(1, max_depth + 1):
-        if depth > 1:
-            frontier, seen = frontier.checkpoint(), seen.checkpoint()
         reached = frontier.join(hops, "node_id").select(F.col("next_id").alias("node_id")).distinct()
-        frontier = reached.join(seen, "node_id", "left_anti").select("node_id", F.lit(depth).alias("depth"))
+        frontier = reached.join(seen.select("node_id"), "node_id", "left_anti").select("node_id", F.lit(depth).alias("depth"))
+        if depth < max_depth:
+            frontier = written(frontier)
         seen = seen.unionByName(frontier)
     return seen
 
 
+def written(df: DataFrame) -> DataFrame:
+    """``df`` as a table in the shared folder, worked out once; what reads it knows its size."""
+    at = shared_folder(df.sparkSession, "walk")
+    df.write.parquet(at)
+    return df.sparkSession.read.parquet(at)
+
+
 def paths(nodes: DataFrame, edges: DataFrame, starts: DataFrame, relationship: str, max_depth: int = 3, reverse: bool = False) -> DataFrame:
     """For each node expanded within ``max_depth`` hops: node_id, relationship, depth, targets (its neighbours, sorted)."""
     a, b = ("target_id", "source_id") if reverse else ("source_id", "target_id")

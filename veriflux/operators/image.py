@@ -279,14 +279,16 @@ def _described(p: np.ndarray) -> np.ndarray:
 
 
 def embed_patches(images: DataFrame, patch: int = 14, dim: int = 128) -> DataFrame:
-    """Features of decoded 8-bit images of three channels: path, patch_id, embedding."""
+    """Features of decoded images of 8 bits: path, patch_id, embedding. Grey ones count as three equal channels, of more than three the first three; others fail the query."""
     ship_package(images.sparkSession)
 
     def run(batches):
         for pdf in batches:
-            for path, h, w, pixels in zip(pdf["path"], pdf["height"], pdf["width"], pdf["pixels"]):
-                x = patch_features(np.frombuffer(pixels, np.uint8).reshape(h, w, 3), patch, dim)
+            for path, h, w, c, bits, pixels in zip(*(pdf[k] for k in ("path", "height", "width", "channels", "bits", "pixels"))):
+                if bits != 8:
+                    raise ValueError(f"{path}: {bits} bits a sample, not 8")
+                picture = np.frombuffer(pixels, np.uint8).reshape(h, w, c)
+                x = patch_features(picture[..., :3] if c >= 3 else picture[..., :1].repeat(3, axis=-1), patch, dim)
                 yield pd.DataFrame({"path": path, "patch_id": np.arange(len(x), dtype=np.int32), "embedding": list(x.astype(np.float32))})
 
-    known = images.filter("channels = 3 and bits = 8").select("path", "height", "width", "pixels")
-    return known.mapInPandas(run, "path string, patch_id int, embedding array<float>")
+    return images.select("path", "height", "width", "channels", "bits", "pixels").mapInPandas(run, "path string, patch_id int, embedding array<float>")

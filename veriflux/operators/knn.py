@@ -162,10 +162,12 @@ def range_search(queries: DataFrame, bank: DataFrame, radius: float = 1.0, exclu
 class IvfIndex:
     """Cells around centroids; a search looks into the ``nprobe`` nearest cells alone.
 
-    Centroids come from a bounded sample (``max_fit``); every vector gets its cell.
+    Centroids come from a bounded sample (``max_fit``); every vector gets its cell. With ``folder`` the
+    index is written there, a folder for each cell, and a search reads the cells alone that it probes;
+    without it each search deals the vectors out to cells anew, which is for a single one.
     """
 
-    def __init__(self, bank: DataFrame, nlist: int = 256, max_fit: int = 50_000, rounds: int = 12):
+    def __init__(self, bank: DataFrame, nlist: int = 256, max_fit: int = 50_000, rounds: int = 12, folder: str | None = None):
         ship_package(bank.sparkSession)
         sample = bank.select("vec_id", "embedding").orderBy(F.xxhash64("vec_id"), "vec_id").limit(max_fit).toArrow()
         x = _matrix(sample.column("embedding"))
@@ -185,6 +187,9 @@ class IvfIndex:
                 yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1), pa.array(cell, pa.int32())], ["vec_id", "embedding", "cell"])
 
         self.bank = bank.select("vec_id", "embedding").mapInArrow(assign, "vec_id long, embedding array<float>, cell int")
+        if folder is not None:
+            self.bank.repartition("cell").write.partitionBy("cell").parquet(folder)
+            self.bank = bank.sparkSession.read.schema("vec_id long, embedding array<float>, cell int").parquet(folder)
 
     @staticmethod
     def _cells(x: np.ndarray, c: np.ndarray, n: int) -> np.ndarray:
@@ -192,6 +197,8 @@ class IvfIndex:
 
     def search(self, queries: DataFrame, k: int, nprobe: int = 4, exclude_self: bool = False) -> DataFrame:
         c, parts = self.centroids, []
+        if queries.limit(MAX_QUERIES + 1).count() > MAX_QUERIES:
+            raise ValueError(f"more than {MAX_QUERIES} queries at once")
         for ids, q in query_blocks(queries):
             cells = self._cells(q, c, nprobe)
             wanted = {int(v): np.flatnonzero((cells == v).any(axis=1)) for v in np.unique(cells)}
@@ -208,7 +215,9 @@ class IvfIndex:
                         rows += _nearest(ids[i], q[i], k, exclude_self, None)([part])
                 yield from rows
 
-            parts.append(self.bank.mapInArrow(run, FOUND))
+            parts.append(self.bank.filter(F.col("cell").isin([int(v) for v in wanted])).mapInArrow(run, FOUND))
+        if not parts:
+            return queries.sparkSession.createDataFrame([], "query_id long, vec_id long, rank int, d2 double")
         out = parts[0]
         for p in parts[1:]:
             out = out.unionByName(p)

@@ -32,7 +32,8 @@ def greedy_coreset(bank: DataFrame, n: int, key: str, max_rows: int = 50_000) ->
     """Of each key's vectors the ``n`` that furthest-point selection takes, in its order: key, vec_id, pick.
 
     Selection is sequential, so a key of more than ``max_rows`` is selected from in parts
-    of that size, and then from what the parts gave (a coreset of coresets).
+    of that size, and then from what the parts gave (a coreset of coresets, which may differ
+    from the selection of all; ``exact_coreset`` makes that one for a bank of any size).
     """
     ship_package(bank.sparkSession)
     kind = dict(bank.dtypes)[key]
@@ -50,6 +51,44 @@ def greedy_coreset(bank: DataFrame, n: int, key: str, max_rows: int = 50_000) ->
     return once.groupBy(key).applyInPandas(lambda pdf: select(pdf.drop(columns="pick")), schema).drop("embedding")
 
 
+def exact_coreset(bank: DataFrame, n: int) -> DataFrame:
+    """The ``n`` vectors of a bank of any size that furthest-point selection takes: vec_id, pick. One pass over the bank a pick.
+
+    Each task holds the picks so far and one batch, and sends its furthest vector; ``greedy_coreset`` makes the same picks of a key that fits in one task.
+    """
+    ship_package(bank.sparkSession)
+    rows = bank.select("vec_id", "embedding")
+    first = rows.orderBy("vec_id").limit(1).collect()
+    ids, chosen = [r.vec_id for r in first], [np.array(r.embedding, float) for r in first]
+
+    def furthest(known: list[int], c: np.ndarray):
+        def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+            best = None
+            for batch in batches:
+                own, x = batch.column(0).to_numpy(zero_copy_only=False), _matrix(batch.column(1))
+                for at in range(0, len(x), 4096):
+                    part, names = x[at : at + 4096], own[at : at + 4096]
+                    least = np.full(len(part), np.inf)
+                    for v in c:
+                        least = np.minimum(least, ((part - v) ** 2).sum(axis=1))
+                    least[np.isin(names, known)] = -1.0
+                    far = np.lexsort((names, -least))[0]
+                    if best is None or (-least[far], names[far]) < best[:2]:
+                        best = (-least[far], names[far], part[far])
+            if best is not None and best[0] <= 0:
+                yield pa.RecordBatch.from_arrays([pa.array([-best[0]]), pa.array([int(best[1])]), pa.array([best[2].tolist()], pa.list_(pa.float64()))], ["d2", "vec_id", "embedding"])
+
+        return run
+
+    while ids and len(ids) < n:
+        found = rows.mapInArrow(furthest(ids, np.array(chosen)), "d2 double, vec_id long, embedding array<double>").orderBy(F.desc("d2"), "vec_id").limit(1).collect()
+        if not found:
+            break
+        ids.append(found[0].vec_id)
+        chosen.append(np.array(found[0].embedding))
+    return bank.sparkSession.createDataFrame([(v, i) for i, v in enumerate(ids)], "vec_id long, pick int")
+
+
 def least_distances(bank: DataFrame, core: DataFrame, most: int = MAX_QUERIES) -> DataFrame:
     """Of each vector of ``bank`` the squared distance to the nearest of ``core``, of ``most`` vectors at most: vec_id, d2."""
     ship_package(bank.sparkSession)

@@ -4,10 +4,11 @@ from __future__ import annotations
 
 import re
 
-from pyspark.sql import Column, DataFrame, Window
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from .knn import knn
+from .stats import numbered
 
 _NAME = re.compile(r"[a-zA-Z_]\w*\Z")
 
@@ -29,12 +30,13 @@ def condition(field: str, op: str, value, props: str = "properties") -> Column:
     return ops[op]
 
 
-def metadata_search(nodes: DataFrame, filters: list[tuple] = (), types: list[str] = (), limit: int = 100) -> DataFrame:
-    """Nodes (id, type, properties) of the types that meet all filters, by id: node_id, score (1)."""
+def metadata_search(nodes: DataFrame, filters: list[tuple] = (), types: list[str] = (), limit: int | None = 100) -> DataFrame:
+    """Nodes (id, type, properties) of the types that meet all filters, the first ``limit`` by id (None: all): node_id, score (1)."""
     out = nodes.filter(F.col("type").isin(list(types))) if types else nodes
     for f in filters:
         out = out.filter(condition(*f))
-    return out.orderBy("id").limit(limit).select(F.col("id").alias("node_id"), F.lit(1.0).alias("score"))
+    out = out if limit is None else out.orderBy("id").limit(limit)
+    return out.select(F.col("id").alias("node_id"), F.lit(1.0).alias("score"))
 
 
 def _checked(alpha: float) -> float:
@@ -59,13 +61,13 @@ def fuse_rrf(vector: DataFrame, metadata: DataFrame, k: int = 60) -> DataFrame:
     """Sum of 1 / (k + rank), ranks from 1: vector by distance, metadata by node_id."""
     if k <= 0:
         raise ValueError("k is positive")
-    a = vector.select("node_id", F.row_number().over(Window.orderBy("distance", "node_id")).alias("vector_rank"))
-    b = metadata.select("node_id", F.row_number().over(Window.orderBy(F.desc("score"), "node_id")).alias("metadata_rank"))
+    a = numbered(vector.select("node_id", F.struct("distance", "node_id").alias("by")), "by").select("node_id", (F.col("_index") + 1).alias("vector_rank"))
+    b = numbered(metadata.select("node_id", F.struct((-F.col("score")).alias("s"), "node_id").alias("by")), "by").select("node_id", (F.col("_index") + 1).alias("metadata_rank"))
     share = lambda c: F.coalesce(1.0 / (k + F.col(c)), F.lit(0.0))
     return a.join(b, "node_id", "full_outer").withColumn("fused", share("vector_rank") + share("metadata_rank"))
 
 
-def hybrid(query: DataFrame, bank: DataFrame, bridge: DataFrame, nodes: DataFrame, *, k: int = 10, filters: list[tuple] = (), types: list[str] = (), limit: int = 100, alpha: float = 0.5, method: str = "weighted") -> DataFrame:
+def hybrid(query: DataFrame, bank: DataFrame, bridge: DataFrame, nodes: DataFrame, *, k: int = 10, filters: list[tuple] = (), types: list[str] = (), limit: int | None = 100, alpha: float = 0.5, method: str = "weighted") -> DataFrame:
     """Metadata first; its nodes' vectors (``bridge``: vec_id, node_id) restrict the vector search; then fusion.
 
     With filters that nothing meets the result is empty.

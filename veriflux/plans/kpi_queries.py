@@ -8,6 +8,7 @@ from ..operators import kpi as Q
 from ..operators import knn as K
 from ..operators import reasoner as T
 from ..operators import rules as E
+from ..session import shared_folder
 from ..sources import tables
 from ..streaming import windows as W
 from . import frames as S
@@ -101,9 +102,20 @@ def p4_drop_oldest(spark, sf_dir):
     return Q.drop_oldest(S.table(spark, sf_dir, "events"), "user_id", ["ts", "event_id"], 4).select("event_id", "user_id")
 
 
-@query(ALL + "SELECT surface_id, count(*) AS total_frames FROM reasoned GROUP BY 1")
+@query(ALL + "SELECT surface_id, frame_id, verdict, position_id, count(*) OVER (PARTITION BY surface_id) AS total_frames FROM reasoned")
 def s13_review_index(spark, sf_dir):
-    return tables.review_index(reasoned(spark, sf_dir)).select("surface_id", "total_frames")
+    """The index as files of a folder a surface, read again."""
+    folder = shared_folder(spark, "review")
+    tables.write_review_index(reasoned(spark, sf_dir), folder)
+    out = spark.read.schema("frame_id long, verdict string, position_id long, surface_id long").json(folder)
+    return out.join(out.groupBy("surface_id").agg(F.count(F.lit(1)).alias("total_frames")), "surface_id")
+
+
+@query(ALL + "SELECT surface_id, count(*) AS total_frames, min(frame_id) AS first, arg_min(verdict, frame_id) AS first_verdict FROM reasoned GROUP BY 1")
+def s13_review_rows(spark, sf_dir):
+    out = tables.review_index(reasoned(spark, sf_dir))
+    first = F.get(F.from_json("frames", "array<struct<frame_id long, verdict string>>"), F.lit(0))
+    return out.select("surface_id", "total_frames", first["frame_id"].alias("first"), first["verdict"].alias("first_verdict"))
 
 
 @query(ALL + "SELECT frame_id, verdict FROM reasoned WHERE verdict <> 'OK' ORDER BY frame_id DESC LIMIT 20")

@@ -159,8 +159,13 @@ def write_reports(results: DataFrame, folder: str) -> None:
     reports(results).select("report").write.mode("overwrite").text(folder)
 
 
+def write_review_index(frames: DataFrame, folder: str) -> None:
+    """Each frame as a line of JSON, in a folder for each surface, whatever their number."""
+    frames.select("surface_id", "frame_id", "verdict", "position_id").write.mode("overwrite").partitionBy("surface_id").json(folder)
+
+
 def review_index(frames: DataFrame) -> DataFrame:
-    """For each surface: total_frames and its frames, by id, as JSON. Frames of one surface are one row."""
+    """For each surface: total_frames and its frames, by id, as JSON. Frames of one surface are one row; ``write_review_index`` is for many."""
     entry = F.sort_array(F.collect_list(F.struct("frame_id", "verdict", "position_id")))
     out = frames.groupBy("surface_id").agg(F.count(F.lit(1)).alias("total_frames"), entry.alias("frames"))
     return out.select("surface_id", "total_frames", F.to_json("frames").alias("frames"))
