@@ -49,13 +49,20 @@ def test_the_rule_closes_nearly_all_windows():
     assert p.next - p.by_rule <= p.max_open and p.by_rule > 0.98 * p.next
 
 
+def test_each_character_of_two_bytes_has_its_ids():
+    t = Tokenizer.from_file(tokens.default_path())
+    texts = [f"a{chr(c)}b {chr(c)} '{chr(c)}1" for c in [*range(0x300), 0x1E9E, 0x212A, 0x212B, 0x2126]]
+    wrong = [x for x, got in zip(texts, tokens.encoder().encode(texts)) if got != np.array(t.encode(x, add_special_tokens=False).ids, "<u4").tobytes()]
+    assert wrong == []
+
+
 def test_cache_stays_bounded(monkeypatch):
     monkeypatch.setattr(tokens, "CACHE_WORDS", 10)
     e = tokens.WordEncoder()
     for i in range(20):
         words = [f"w{i}x{j}" for j in range(7)] + ["same"]
         assert e.encode([" ".join(words)]) == [plain_ids(" ".join(words), 0)[:-4]]
-        assert len(e.known) <= 40
+        assert len(e.words) <= 40 and len(e.pieces) <= 40
 
 
 def check_pieces(rows, docs, end=2, window=4096):

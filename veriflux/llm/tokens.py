@@ -2,9 +2,11 @@
 
 The tokenizer normalises (NFC, white space, lower case), cuts a text into words by a fixed
 pattern and encodes each word for itself; white space is dropped. So the ids of a text are
-the ids of its words, one after another. Texts of Latin characters are cut here by the
-same pattern; others, and those with "<|", which may begin a special token, at spaces
-alone, which no token crosses. Each distinct word goes through the tokenizers library.
+the ids of its words, one after another. A batch of texts is cut at white space, which no
+word crosses, and each distinct piece of it is looked up once. Pieces that are new are cut
+into words by the same pattern, and each distinct word goes through the tokenizers library.
+Texts of other than Latin characters, and those with "<|", which may begin a special token,
+are cut at spaces alone, and their pieces go through the library as they are.
 
 All this holds for tokenizers that normalise and cut like that one. Texts of any other
 tokenizer go through the library whole.
@@ -17,7 +19,11 @@ import os
 import re
 from array import array
 
-#: Words whose ids a worker keeps, and the longest that is kept.
+import numpy as np
+import pyarrow as pa
+import pyarrow.compute as pc
+
+#: Words and pieces whose ids a worker keeps, and the longest that is kept.
 CACHE_WORDS, CACHE_CHARS = 1_000_000, 48
 #: The tokenizer's own pattern (a fixed value) for lower-case texts without ``OTHER``; letters come first, being the most.
 LETTERS = "a-zªµºß-öø-ɏ"
@@ -36,14 +42,6 @@ def default_path() -> str:
     return public_tokenizers.path(DEFAULT_VOCABULARY)
 
 
-def words_of(text: str | None) -> list[str]:
-    if not text:
-        return []
-    if OTHER.search(text):
-        return text.replace("\n", " ").split(" ")
-    return WORDS.findall(text.lower())
-
-
 def _cuts_into_words(settings: dict) -> bool:
     normaliser, cutter = settings.get("normalizer") or {}, settings.get("pre_tokenizer") or {}
     steps = [x.get("type") for x in normaliser.get("normalizers", [])]
@@ -60,21 +58,61 @@ class WordEncoder:
         from tokenizers import Tokenizer
 
         self.tokenizer = Tokenizer.from_file(path or default_path())
-        self.known: dict[str, bytes] = {"": b""}
+        self.words: dict[str, bytes] = {}
+        self.pieces: dict[str, bytes] = {}
         self.by_word = _cuts_into_words(json.loads(self.tokenizer.to_str()))
 
     def encode(self, texts: list[str | None]) -> list[bytes]:
         if not self.by_word:
             return [array("I", e.ids).tobytes() for e in self.tokenizer.encode_batch_fast([t or "" for t in texts], add_special_tokens=False)]
-        split = [words_of(t) for t in texts]
-        known, used = self.known, set().union(*split)
-        if len(known) + len(used) > CACHE_WORDS:
-            # start anew, with those of this batch that are at hand
-            known = self.known = {w: known[w] for w in used if w in known} | {"": b""}
-        missing = list(used.difference(known))
+        lower = [t.lower() if t else "" for t in texts]
+        other = [OTHER.search(t) is not None for t in lower]
+        lists = pc.ascii_split_whitespace(pa.array(["" if o else t for t, o in zip(lower, other)], pa.large_string()))
+        found = lists.flatten().dictionary_encode()
+        if not isinstance(found, pa.DictionaryArray):
+            found = found.combine_chunks()
+        values = self._looked_up(found.dictionary.to_pylist())
+        # of each piece its ids, picked from those of the distinct ones
+        sizes = np.fromiter(map(len, values), np.int64, len(values)) // 4
+        pool, starts = np.frombuffer(b"".join(values), "<u4"), np.cumsum(sizes) - sizes
+        place = found.indices.to_numpy()
+        n = sizes[place]
+        ends = np.concatenate(([0], np.cumsum(n)))
+        ids = pool[np.repeat(starts[place] - ends[:-1], n) + np.arange(ends[-1])]
+        cuts = ends[lists.offsets.to_numpy()].tolist()
+        out = [ids[i:j].tobytes() for i, j in zip(cuts, cuts[1:])]
+        for i, o in enumerate(other):
+            if o:
+                out[i] = b"".join(self._encoded(texts[i].replace("\n", " ").split(" ")))
+        return out
+
+    def _looked_up(self, pieces: list[str]) -> list[bytes]:
+        """Ids of pieces of lower case without ``OTHER``."""
+        if len(self.pieces) + len(pieces) > CACHE_WORDS:
+            self.pieces = {p: self.pieces[p] for p in pieces if p in self.pieces}  # start anew, with those of this batch that are at hand
+        known = self.pieces
+        out = list(map(known.get, pieces))
+        missing = [p for p, ids in zip(pieces, out) if ids is None]
+        cut = list(map(WORDS.findall, missing))
+        ids = self._encoded([w for own in cut for w in own])
+        at = 0
+        for p, own in zip(missing, cut):
+            known[p] = b"".join(ids[at : at + len(own)])
+            at += len(own)
+        out = [known[p] if ids is None else ids for p, ids in zip(pieces, out)]
+        for p in missing:
+            if len(p) > CACHE_CHARS:
+                del known[p]
+        return out
+
+    def _encoded(self, words: list[str]) -> list[bytes]:
+        used = set(words)
+        if len(self.words) + len(used) > CACHE_WORDS:
+            self.words = {w: self.words[w] for w in used if w in self.words}
+        known, missing = self.words, list(used.difference(self.words))
         for word, e in zip(missing, self.tokenizer.encode_batch_fast(missing, add_special_tokens=False)):
             known[word] = array("I", e.ids).tobytes()
-        out = [b"".join(map(known.__getitem__, words)) for words in split]
+        out = list(map(known.__getitem__, words))
         for word in missing:
             if len(word) > CACHE_CHARS:
                 del known[word]
