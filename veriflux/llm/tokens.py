@@ -60,6 +60,9 @@ class WordEncoder:
         self.tokenizer = Tokenizer.from_file(path or default_path())
         self.words: dict[str, bytes] = {}
         self.pieces: dict[str, bytes] = {}
+        vocabulary = self.tokenizer.get_vocab()
+        self.ends = np.zeros(max(vocabulary.values()) + 1, bool)
+        self.ends[[i for token, i in vocabulary.items() if token.endswith("</w>")]] = True
         self.by_word = _cuts_into_words(json.loads(self.tokenizer.to_str()))
 
     def encode(self, texts: list[str | None]) -> list[bytes]:
@@ -94,7 +97,7 @@ class WordEncoder:
         out = list(map(known.get, pieces))
         missing = [p for p, ids in zip(pieces, out) if ids is None]
         cut = list(map(WORDS.findall, missing))
-        ids = self._encoded([w for own in cut for w in own])
+        ids = self._encoded([w for own in cut for w in own], apart=False)
         at = 0
         for p, own in zip(missing, cut):
             known[p] = b"".join(ids[at : at + len(own)])
@@ -105,13 +108,29 @@ class WordEncoder:
                 del known[p]
         return out
 
-    def _encoded(self, words: list[str]) -> list[bytes]:
+    def _together(self, words: list[str], size: int = 64) -> None:
+        """Learns words that the pattern cuts, many in one text: each ends with the one token that ends words."""
+        groups = [words[i : i + size] for i in range(0, len(words), size)]
+        for own, e in zip(groups, self.tokenizer.encode_batch_fast([" ".join(g) for g in groups], add_special_tokens=False)):
+            ids = np.array(e.ids, "<u4")
+            ends = (4 * (np.flatnonzero(self.ends[ids]) + 1)).tolist()
+            if len(ends) == len(own):
+                raw = ids.tobytes()
+                self.words.update(zip(own, [raw[i:j] for i, j in zip([0, *ends], ends)]))
+            else:
+                for word, one in zip(own, self.tokenizer.encode_batch_fast(own, add_special_tokens=False)):
+                    self.words[word] = array("I", one.ids).tobytes()
+
+    def _encoded(self, words: list[str], apart: bool = True) -> list[bytes]:
         used = set(words)
         if len(self.words) + len(used) > CACHE_WORDS:
             self.words = {w: self.words[w] for w in used if w in self.words}
         known, missing = self.words, list(used.difference(self.words))
-        for word, e in zip(missing, self.tokenizer.encode_batch_fast(missing, add_special_tokens=False)):
-            known[word] = array("I", e.ids).tobytes()
+        if apart:
+            for word, e in zip(missing, self.tokenizer.encode_batch_fast(missing, add_special_tokens=False)):
+                known[word] = array("I", e.ids).tobytes()
+        else:
+            self._together(missing)
         out = list(map(known.__getitem__, words))
         for word in missing:
             if len(word) > CACHE_CHARS:
