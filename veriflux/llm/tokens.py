@@ -2,11 +2,11 @@
 
 The tokenizer normalises (NFC, white space, lower case), cuts a text into words by a fixed
 pattern and encodes each word for itself; white space is dropped. So the ids of a text are
-the ids of its words, one after another. A batch of texts is cut at white space, which no
-word crosses, and each distinct piece of it is looked up once. Pieces that are new are cut
-into words by the same pattern, and each distinct word goes through the tokenizers library.
-Texts of other than Latin characters, and those with "<|", which may begin a special token,
-are cut at spaces alone, and their pieces go through the library as they are.
+the ids of its words, one after another. A batch of texts is cut into words by the same
+pattern, each distinct word of it is looked up once, and those that are new go through the
+tokenizers library. Texts of other than Latin characters, and those with "<|", which may
+begin a special token, are cut at spaces alone, and their pieces go through the library as
+they are.
 
 All this holds for tokenizers that normalise and cut like that one. Texts of any other
 tokenizer go through the library whole.
@@ -16,20 +16,19 @@ from __future__ import annotations
 
 import json
 import os
-import re
 from array import array
 
 import numpy as np
 import pyarrow as pa
 import pyarrow.compute as pc
 
-#: Words and pieces whose ids a worker keeps, and the longest that is kept.
+#: Words whose ids a worker keeps, and the longest that is kept.
 CACHE_WORDS, CACHE_CHARS = 1_000_000, 48
-#: The tokenizer's own pattern (a fixed value) for lower-case texts without ``OTHER``; letters come first, being the most.
+#: The tokenizer's own pattern (a fixed value) for what stands between letters in lower-case texts without ``OTHER``.
 LETTERS = "a-zªµºß-öø-ɏ"
-WORDS = re.compile(rf"[{LETTERS}]+|'s|'t|'re|'ve|'m|'ll|'d|[0-9]|[^{LETTERS}0-9 \t\n\r]+")
+BETWEEN = rf"('s|'t|'re|'ve|'m|'ll|'d|[0-9]|[^{LETTERS}0-9 \t\n\r]+)"
 #: Characters whose class or lower case may differ between libraries, and the start of special tokens.
-OTHER = re.compile("[\x00-\x08\x0b\x0c\x0e-\x1f\x7f-\xa0²³¹¼½¾İ\u0250-\U0010ffff]|<\\|")
+OTHER = r"[\x00-\x08\x0b\x0c\x0e-\x1f\x7f-\xa0²³¹¼½¾İ" + "\u0250-\U0010ffff" + r"]|<\|"
 DEFAULT_VOCABULARY = "word_bpe_49k.json"
 #: How a tokenizer normalises and cuts whose texts may be cut into words here (fixed values of its file).
 NORMALISES = ["NFC", "Replace", "Lowercase"]
@@ -59,7 +58,6 @@ class WordEncoder:
 
         self.tokenizer = Tokenizer.from_file(path or default_path())
         self.words: dict[str, bytes] = {}
-        self.pieces: dict[str, bytes] = {}
         vocabulary = self.tokenizer.get_vocab()
         self.ends = np.zeros(max(vocabulary.values()) + 1, bool)
         self.ends[[i for token, i in vocabulary.items() if token.endswith("</w>")]] = True
@@ -69,43 +67,21 @@ class WordEncoder:
         if not self.by_word:
             return [array("I", e.ids).tobytes() for e in self.tokenizer.encode_batch_fast([t or "" for t in texts], add_special_tokens=False)]
         lower = [t.lower() if t else "" for t in texts]
-        other = [OTHER.search(t) is not None for t in lower]
-        lists = pc.ascii_split_whitespace(pa.array(["" if o else t for t, o in zip(lower, other)], pa.large_string()))
-        found = lists.flatten().dictionary_encode()
-        if not isinstance(found, pa.DictionaryArray):
-            found = found.combine_chunks()
-        values = self._looked_up(found.dictionary.to_pylist())
-        # of each piece its ids, picked from those of the distinct ones
-        sizes = np.fromiter(map(len, values), np.int64, len(values)) // 4
-        pool, starts = np.frombuffer(b"".join(values), "<u4"), np.cumsum(sizes) - sizes
-        place = found.indices.to_numpy()
-        n = sizes[place]
-        ends = np.concatenate(([0], np.cumsum(n)))
-        ids = pool[np.repeat(starts[place] - ends[:-1], n) + np.arange(ends[-1])]
-        cuts = ends[lists.offsets.to_numpy()].tolist()
-        out = [ids[i:j].tobytes() for i, j in zip(cuts, cuts[1:])]
-        for i, o in enumerate(other):
-            if o:
-                out[i] = b"".join(self._encoded(texts[i].replace("\n", " ").split(" ")))
-        return out
-
-    def _looked_up(self, pieces: list[str]) -> list[bytes]:
-        """Ids of pieces of lower case without ``OTHER``."""
-        if len(self.pieces) + len(pieces) > CACHE_WORDS:
-            self.pieces = {p: self.pieces[p] for p in pieces if p in self.pieces}  # start anew, with those of this batch that are at hand
-        known = self.pieces
-        out = list(map(known.get, pieces))
-        missing = [p for p, ids in zip(pieces, out) if ids is None]
-        cut = list(map(WORDS.findall, missing))
-        ids = self._encoded([w for own in cut for w in own], apart=False)
-        at = 0
-        for p, own in zip(missing, cut):
-            known[p] = b"".join(ids[at : at + len(own)])
-            at += len(own)
-        out = [known[p] if ids is None else ids for p, ids in zip(pieces, out)]
-        for p in missing:
-            if len(p) > CACHE_CHARS:
-                del known[p]
+        found = pa.array(lower, pa.large_string())
+        unlike = pc.match_substring_regex(found, OTHER)
+        spaced = pc.replace_substring_regex(pc.if_else(unlike, "", found), BETWEEN, r" \1 ")
+        lists = pc.ascii_split_whitespace(spaced)
+        words = lists.flatten().dictionary_encode()
+        # of each word its ids, one after another, picked from those of the distinct ones
+        own = pa.array(self._encoded(words.dictionary.to_pylist(), apart=False), pa.large_binary())
+        ids = own.take(words.indices)
+        out = [b""] * len(texts)
+        if len(ids):
+            _, offsets, data = ids.buffers()
+            cuts = np.frombuffer(offsets, "<i8")[lists.offsets.to_numpy()].tolist()
+            out = [data[i:j].to_pybytes() for i, j in zip(cuts, cuts[1:])]
+        for i in np.flatnonzero(unlike.to_numpy(zero_copy_only=False)).tolist():
+            out[i] = b"".join(self._encoded(texts[i].replace("\n", " ").split(" ")))
         return out
 
     def _together(self, words: list[str], size: int = 64) -> None:
@@ -122,16 +98,18 @@ class WordEncoder:
                     self.words[word] = array("I", one.ids).tobytes()
 
     def _encoded(self, words: list[str], apart: bool = True) -> list[bytes]:
-        used = set(words)
-        if len(self.words) + len(used) > CACHE_WORDS:
-            self.words = {w: self.words[w] for w in used if w in self.words}
-        known, missing = self.words, list(used.difference(self.words))
+        if len(self.words) + len(words) > CACHE_WORDS:
+            self.words = {w: self.words[w] for w in words if w in self.words}  # start anew, with those of this batch that are at hand
+        known = self.words
+        out = list(map(known.get, words))
+        missing = list(dict.fromkeys(w for w, ids in zip(words, out) if ids is None))
         if apart:
             for word, e in zip(missing, self.tokenizer.encode_batch_fast(missing, add_special_tokens=False)):
                 known[word] = array("I", e.ids).tobytes()
         else:
             self._together(missing)
-        out = list(map(known.__getitem__, words))
+        if missing:
+            out = list(map(known.__getitem__, words))
         for word in missing:
             if len(word) > CACHE_CHARS:
                 del known[word]
