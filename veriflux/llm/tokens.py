@@ -22,7 +22,7 @@ import numpy as np
 import pyarrow as pa
 import pyarrow.compute as pc
 
-#: Words whose ids a worker keeps, and the longest that is kept.
+#: Words, and pieces of texts cut at spaces alone, whose ids a worker keeps, and the longest that is kept.
 CACHE_WORDS, CACHE_CHARS = 1_000_000, 48
 #: The tokenizer's own pattern (a fixed value) for what stands between letters in lower-case texts without ``OTHER``.
 LETTERS = "a-zªµºß-öø-ɏ"
@@ -58,6 +58,7 @@ class WordEncoder:
 
         self.tokenizer = Tokenizer.from_file(path or default_path())
         self.words: dict[str, bytes] = {}
+        self.pieces: dict[str, bytes] = {}
         vocabulary = self.tokenizer.get_vocab()
         self.ends = np.zeros(max(vocabulary.values()) + 1, bool)
         self.ends[[i for token, i in vocabulary.items() if token.endswith("</w>")]] = True
@@ -73,7 +74,7 @@ class WordEncoder:
         lists = pc.ascii_split_whitespace(spaced)
         words = lists.flatten().dictionary_encode()
         # of each word its ids, one after another, picked from those of the distinct ones
-        own = pa.array(self._encoded(words.dictionary.to_pylist(), apart=False), pa.large_binary())
+        own = pa.array(self._looked_up(self.words, words.dictionary.to_pylist(), self._together), pa.large_binary())
         ids = own.take(words.indices)
         out = [b""] * len(texts)
         if len(ids):
@@ -81,7 +82,10 @@ class WordEncoder:
             cuts = np.frombuffer(offsets, "<i8")[lists.offsets.to_numpy()].tolist()
             out = [data[i:j].to_pybytes() for i, j in zip(cuts, cuts[1:])]
         for i in np.flatnonzero(unlike.to_numpy(zero_copy_only=False)).tolist():
-            out[i] = b"".join(self._encoded(texts[i].replace("\n", " ").split(" ")))
+            pieces = texts[i].replace("\n", " ").split(" ")
+            distinct = list(dict.fromkeys(pieces))
+            ids_of = dict(zip(distinct, self._looked_up(self.pieces, distinct, self._apart)))
+            out[i] = b"".join(map(ids_of.__getitem__, pieces))
         return out
 
     def _together(self, words: list[str], size: int = 64) -> None:
@@ -97,22 +101,24 @@ class WordEncoder:
                 for word, one in zip(own, self.tokenizer.encode_batch_fast(own, add_special_tokens=False)):
                     self.words[word] = array("I", one.ids).tobytes()
 
-    def _encoded(self, words: list[str], apart: bool = True) -> list[bytes]:
-        if len(self.words) + len(words) > CACHE_WORDS:
-            self.words = {w: self.words[w] for w in words if w in self.words}  # start anew, with those of this batch that are at hand
-        known = self.words
-        out = list(map(known.get, words))
-        missing = list(dict.fromkeys(w for w, ids in zip(words, out) if ids is None))
-        if apart:
-            for word, e in zip(missing, self.tokenizer.encode_batch_fast(missing, add_special_tokens=False)):
-                known[word] = array("I", e.ids).tobytes()
-        else:
-            self._together(missing)
+    def _apart(self, pieces: list[str]) -> None:
+        """Learns pieces of any characters, each as a text."""
+        for piece, e in zip(pieces, self.tokenizer.encode_batch_fast(pieces, add_special_tokens=False)):
+            self.pieces[piece] = array("I", e.ids).tobytes()
+
+    def _looked_up(self, known: dict[str, bytes], parts: list[str], learn) -> list[bytes]:
+        """Ids of distinct ``parts`` from the cache ``known``; before it grows too large it starts anew, with those at hand."""
+        if len(known) + len(parts) > CACHE_WORDS:
+            kept = {p: known[p] for p in parts if p in known}
+            known.clear()
+            known.update(kept)
+        missing = [p for p in parts if p not in known]
         if missing:
-            out = list(map(known.__getitem__, words))
-        for word in missing:
-            if len(word) > CACHE_CHARS:
-                del known[word]
+            learn(missing)
+        out = list(map(known.__getitem__, parts))
+        for p in missing:
+            if len(p) > CACHE_CHARS:
+                del known[p]
         return out
 
 
