@@ -10,6 +10,8 @@ from ..operators import facts as B
 from ..operators import knn as K
 from ..operators import linalg as L
 from ..operators import stats as V
+from ..streaming import bootstrap as T
+from ..streaming import recorder as R
 from . import frames as S
 from .image_queries import regions_sql
 from .registry import query
@@ -241,3 +243,20 @@ def e15_fact_base(spark, sf_dir):
     base = B.set_defaults(B.set_facts(base, fact(e.filter("event_id % 3 = 0"), "score", F.col("value") * 2, F.lit(None), "Computed")), {"kind": "none"})
     out = B.wide(base, ["score"], ["kind"]).join(B.get(base, "score").select("frame_id", "source"), "frame_id")
     return out.select("frame_id", F.round("score", 6).alias("score"), "kind", "source")
+
+
+@query("""WITH numbered AS (SELECT *, row_number() OVER (PARTITION BY label ORDER BY vec_id) - 1 AS n, count(*) OVER (PARTITION BY label) AS size FROM embeddings), framed AS (
+  SELECT label, vec_id, n // 8 AS frame, n % 8 AS patch, size // 8 AS frames FROM numbered
+) SELECT label, vec_id FROM framed WHERE frames >= 6 AND frame < 6 AND patch % 2 = 0""")
+def v18_bootstrap(spark, sf_dir):
+    """Eight vectors of a label in a row are a frame, a rest of fewer is none; six frames start a bank. The target is what the sample has, so the coreset takes all."""
+    n = _numbered(spark, sf_dir)
+    sizes = n.groupBy("label").agg(F.count(F.lit(1)).alias("size"))
+    patches = n.join(sizes, "label").filter("n < size - size % 8").select("label", "vec_id", "embedding", F.floor(F.col("n") / 8).alias("frame_id"), (F.col("n") % 8).alias("patch"))
+    return T.bootstrapped(patches, "label", 6, 24).select("label", "vec_id")
+
+
+@query("SELECT CAST(value / 500 AS DOUBLE) AS detection_score, event_type AS machine_verdict, CAST(user_id AS VARCHAR) AS surface_id, epoch_us(ts) AS timestamp FROM events")
+def p11_inspection_records(spark, sf_dir):
+    found = S.table(spark, sf_dir, "events")
+    return R.ground_truth(found.select((F.col("value") / 500).alias("detection_score"), F.col("event_type").alias("machine_verdict"), F.col("user_id").alias("surface_id"), F.unix_micros(F.col("ts").cast("timestamp")).alias("timestamp")))
