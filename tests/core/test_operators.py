@@ -207,6 +207,19 @@ def test_statistics(spark):
     assert [r.v for r in unit] == [[0.6, 0.8], [0.0, 0.0]]
 
 
+def test_numbers_do_not_depend_on_the_columns_that_are_read(spark):
+    conf = {"spark.sql.adaptive.advisoryPartitionSizeInBytes": "32k", "spark.sql.adaptive.coalescePartitions.minPartitionSize": "8k"}
+    for k, v in conf.items():
+        spark.conf.set(k, v)
+    try:
+        df = spark.range(0, 8000, 1, 8).select(((F.col("id") * 7919) % 8000).alias("vec_id"), F.transform(F.sequence(F.lit(1), F.lit(64)), lambda i: F.rand(3).cast("float")).alias("embedding"))
+        assert [r for r in V.numbered(df, "vec_id").select("vec_id", "embedding", "_index").collect() if r.vec_id != r._index] == []
+        assert sorted(r.vec_id for r in V.stride_sample(df, 100, "vec_id").select("vec_id", "embedding").collect()) == list(range(0, 8000, 80))
+    finally:
+        for k in conf:
+            spark.conf.unset(k)
+
+
 def test_costs_and_queues(spark):
     truth = spark.createDataFrame([(None, False, False)] * 8 + [(None, False, True)] * 2, "score double, stored_ng boolean, is_ng boolean")
     assert Q.confusion_cost(truth.withColumn("machine_ng", F.col("stored_ng"))).first().cost == 1.0

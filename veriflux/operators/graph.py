@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from ..session import shared_folder
+from ..session import shared_folder, written
 
 
 def traverse(nodes: DataFrame, edges: DataFrame, starts: DataFrame, relationship: str | None, max_depth: int = 3, reverse: bool = False) -> DataFrame:
@@ -32,13 +32,6 @@ def traverse(nodes: DataFrame, edges: DataFrame, starts: DataFrame, relationship
     return seen
 
 
-def written(df: DataFrame) -> DataFrame:
-    """``df`` as a table in the shared folder, worked out once; what reads it knows its size."""
-    at = shared_folder(df.sparkSession, "walk")
-    df.write.parquet(at)
-    return df.sparkSession.read.parquet(at)
-
-
 def paths(nodes: DataFrame, edges: DataFrame, starts: DataFrame, relationship: str, max_depth: int = 3, reverse: bool = False) -> DataFrame:
     """For each node expanded within ``max_depth`` hops: node_id, relationship, depth, targets (its neighbours, sorted)."""
     a, b = ("target_id", "source_id") if reverse else ("source_id", "target_id")
