@@ -1,6 +1,7 @@
 import itertools
 
 import numpy as np
+import pyarrow as pa
 import pytest
 from pyspark.sql import functions as F
 
@@ -359,6 +360,17 @@ def test_passages_are_found_wherever_lines_end(spark):
     assert 54 not in found and {r.doc_id for r in got if not r.removed} == {50, 52, 55, 56} and found[79].group_size == 22
 
 
+def test_equal_windows_of_one_place_are_joined_once(spark):
+    hashes, lines = np.array([5, 7, 5, 7, 5], np.int64), np.arange(10, dtype=np.int32)
+    batch = pa.RecordBatch.from_pylist([{"seed": 1, "alike": 2, "n": 3, "doc": 4, "copy": 6, "word": 10, "lines": lines.tobytes(), "hashes": hashes.tobytes()}])
+    (out,) = substring_dedup._single(iter([batch]))
+    assert [(r["hash"], r["at"], r["word"], r["line"]) for r in out.to_pylist()] == [(5, [0, 2, 4], 10, 0), (7, [1, 3], 11, 2)]
+    rows = [(i, f"start{i} " * 3 + "so on and " * (40 + i) + f"end{i} and then " + "x " * (60 + 2 * i)) for i in range(12)]
+    df = spark.createDataFrame([*rows, (None, rows[3][1])], "doc_id long, text string")
+    apart, together = (sorted(map(str, substring_dedup.repeated_passages(df, hot=n).collect())) for n in (1, 10**6))
+    assert apart == together and len(apart) > 12
+
+
 def test_bands_reach_the_recall():
     for s, r in ((0.8, 3), (0.7, 4), (0.9, 5)):
         b = substring_dedup.banding(s, r, 0.995)

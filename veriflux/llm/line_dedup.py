@@ -68,7 +68,7 @@ def _distinct(lines: DataFrame, min_chars: int) -> DataFrame:
     return rows.groupBy("h1", "h2").agg(F.min(F.struct("doc", "copy", "line")).alias("first"), F.count(F.lit(1)).alias("times"), F.first("n").alias("n"), F.first("keys").alias("keys"))
 
 
-def _among(rows: DataFrame, wanted: DataFrame) -> DataFrame:
+def among(rows: DataFrame, wanted: DataFrame) -> DataFrame:
     """``rows`` whose ``h1`` may be among those of ``wanted``: a filter of ``FILTER_BITS`` bits at most, broadcast whatever its fill, thins out what is shuffled next."""
     place = lambda h: F.pmod(h, F.lit(FILTER_BITS))
     bucket, bit = (place(F.col("h1")) / MAP_BITS).cast("int"), place(F.col("h1")) % MAP_BITS
@@ -110,7 +110,7 @@ def _near(lines: DataFrame, distinct: DataFrame) -> DataFrame:
     halves = distinct.select("h1", "h2", "first", "n", F.explode("keys").alias("k"))
     met = _sharing(halves.select("h1", "h2", "first", "n", (F.col("k.kind") >= 2).alias("longer"), (F.col("k.kind") % 2 == 0).alias("ahead"), "k.key"))
     wanted = met.select("h1", "h2", "first").distinct()
-    texts = _among(lines, wanted).select(F.col("h1").alias("t1"), F.col("h2").alias("t2"), "doc", "copy", "line", "body")
+    texts = among(lines, wanted).select(F.col("h1").alias("t1"), F.col("h2").alias("t2"), "doc", "copy", "line", "body")
     at = F.col("doc").eqNullSafe(F.col("first.doc")) & (F.col("copy") == F.col("first.copy")) & (F.col("line") == F.col("first.line"))
     texts = texts.join(wanted, (F.col("t1") == F.col("h1")) & (F.col("t2") == F.col("h2")) & at)
     texts = checkpointed(texts.groupBy(F.col("t1").alias("h1"), F.col("t2").alias("h2")).agg(F.first("body").alias("body")))

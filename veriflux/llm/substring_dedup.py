@@ -47,6 +47,7 @@ from pyspark.sql import functions as F
 from . import words
 from .common import checkpointed, fresh_folder, small_batches
 from .components import components
+from .line_dedup import among
 
 SHINGLE, SIMILARITY, MIN_WORDS, BLOCK = 5, 0.8, 20, 512
 ROWS, RECALL = 3, 0.995
@@ -235,6 +236,8 @@ def _verify(similarity: float):
 def _shingle_sets(docs: DataFrame, wanted: DataFrame, min_words: int) -> DataFrame:
     """id, data (the sorted shingles' bytes) of the paragraphs at the positions ``wanted`` (id, doc, line)."""
     lines = _texts(docs).select("doc", F.posexplode(F.split("body", "\n")).alias("line", "body"))
+    place = F.xxhash64("doc", "line").alias("h1")
+    lines = among(lines.filter(F.length("body") >= 2 * min_words - 1).select("*", place), wanted.select(place))  # so that not all lines are shuffled
     at = wanted.select("id", F.col("doc").alias("at_doc"), F.col("line").alias("at_line"))
     rows = lines.join(at, F.col("doc").eqNullSafe(F.col("at_doc")) & (F.col("line") == F.col("at_line"))).select("id", "body")
 
@@ -442,16 +445,22 @@ def _match(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
 
 
 def _single(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """Each window of (seed, alike, n, doc, copy, word, lines, hashes) for itself."""
+    """Of (seed, alike, n, doc, copy, word, lines, hashes) each window's hash for itself: once, with the numbers ``at`` of all windows that have it, and the first one's word and line."""
     for batch in batches:
+        if not batch.num_rows:
+            continue
         found = batch.column(7).to_pylist()
         sizes = np.array([len(x) // 8 for x in found], np.int64)
         number = np.arange(sizes.sum()) - np.repeat(np.cumsum(sizes) - sizes, sizes)
         lines = np.frombuffer(b"".join(batch.column(6).to_pylist()), np.int32)[::2]
-        at = pa.array(np.repeat(np.arange(len(sizes)), sizes))
-        own = [batch.column(i).take(at) for i in range(5)]
-        word = batch.column(5).to_numpy()[at.to_numpy()] + number
-        yield pa.RecordBatch.from_arrays([*own[:2], pa.array(number.astype(np.int32)), pa.array(np.frombuffer(b"".join(found), np.int64)), *own[2:], pa.array(word.astype(np.int32)), pa.array(lines)], ["seed", "alike", "i", "hash", "n", "doc", "copy", "word", "line"])
+        run, hashes = np.repeat(np.arange(len(sizes)), sizes), np.frombuffer(b"".join(found), np.int64)
+        order = np.lexsort((number, hashes, run))
+        starts = np.flatnonzero(np.concatenate(([True], (run[order[1:]] != run[order[:-1]]) | (hashes[order[1:]] != hashes[order[:-1]]))))
+        first = order[starts]
+        at = pa.ListArray.from_arrays(pa.array(np.append(starts, len(order)), pa.int32()), pa.array(number[order].astype(np.int32)))
+        own = [batch.column(i).take(pa.array(run[first])) for i in range(5)]
+        word = batch.column(5).to_numpy()[run[first]] + number[first]
+        yield pa.RecordBatch.from_arrays([*own[:2], at, pa.array(hashes[first]), *own[2:], pa.array(word.astype(np.int32)), pa.array(lines[first])], ["seed", "alike", "at", "hash", "n", "doc", "copy", "word", "line"])
 
 
 def _split_runs(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -459,20 +468,20 @@ def _split_runs(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     for batch in batches:
         out = []
         for doc, copy, word, lines, met in zip(*(c.to_pylist() for c in batch.columns)):
-            met = [(m["i"], (m["doc"], m["copy"], m["word"], m["line"]), m["times"]) for m in met]
+            met = sorted((i, (m["doc"], m["copy"], m["word"], m["line"]), m["times"]) for m in met for i in m["at"])
             out += _runs(doc, copy, word, np.frombuffer(lines, np.int32).tolist(), met)
         if out:
             yield _run_batch(out)
 
 
 def _matched_apart(rows: DataFrame) -> DataFrame:
-    """``_RUNS`` of seeds of any number of places. Places whose windows are all alike are told apart last."""
+    """``_RUNS`` of seeds of any number of places. Places whose windows are all alike are told apart last, and equal windows of one place, as in words said over and over, go as one row."""
     rows = checkpointed(rows.distinct().withColumn("alike", F.xxhash64("hashes")))
     alike = rows.groupBy("seed", "alike").agg(F.min(F.struct("doc", "copy", "word", "lines", "hashes")).alias("first"), F.count(F.lit(1)).alias("n"))
-    single = checkpointed(alike.select("seed", "alike", "n", "first.*").mapInArrow(_single, "seed long, alike long, i int, hash long, n long, doc long, copy long, word int, line int"))
-    first = single.groupBy("seed", "hash").agg(F.min(F.struct("doc", "copy", "word", "line")).alias("keep"), F.sum("n").cast("int").alias("times")).filter("times > 1")
-    met = single.select("seed", "alike", "i", "hash").join(checkpointed(first), ["seed", "hash"])
-    met = met.groupBy("seed", "alike").agg(F.array_sort(F.collect_list(F.struct("i", "keep.doc", "keep.copy", "keep.word", "keep.line", "times"))).alias("met"))
+    single = checkpointed(alike.select("seed", "alike", "n", "first.*").mapInArrow(_single, "seed long, alike long, at array<int>, hash long, n long, doc long, copy long, word int, line int"))
+    first = single.groupBy("seed", "hash").agg(F.min(F.struct("doc", "copy", "word", "line")).alias("keep"), F.sum(F.col("n") * F.size("at")).cast("int").alias("times")).filter("times > 1")
+    met = single.select("seed", "alike", "at", "hash").join(checkpointed(first), ["seed", "hash"])
+    met = met.groupBy("seed", "alike").agg(F.collect_list(F.struct("at", "keep.doc", "keep.copy", "keep.word", "keep.line", "times")).alias("met"))
     found = rows.join(checkpointed(met), ["seed", "alike"]).select("doc", "copy", "word", "lines", "met")
     return found.mapInArrow(_split_runs, _RUNS)
 
