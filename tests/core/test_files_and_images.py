@@ -8,7 +8,7 @@ from pyspark.sql import functions as F
 from veriflux.operators import image as I
 from veriflux.operators.linalg import Pca
 from veriflux.plans import topology as P
-from veriflux.sources import images, models
+from veriflux.sources import images, models, tables
 
 RGB = np.random.default_rng(3).integers(0, 256, (7, 9, 3)).astype(np.uint8)
 
@@ -158,6 +158,17 @@ pipeline:
 """
 
 
+def test_review_index_has_a_bounded_number_of_files(spark, tmp_path):
+    frames = spark.range(0, 3000, 1, 4).select((F.col("id") % 500).alias("surface_id"), F.col("id").alias("frame_id"), F.lit("OK").alias("verdict"), (F.col("id") % 4).alias("position_id"))
+    frames = frames.unionByName(frames.limit(1).withColumn("surface_id", F.lit(None).cast("long")))
+    tables.write_review_index(frames, str(tmp_path / "index"), parts=8)
+    folders = [p for p in (tmp_path / "index").iterdir() if p.is_dir()]
+    assert len(folders) <= 8 and sum(len(list(p.glob("*.json"))) for p in folders) <= 8 * 5
+    back = spark.read.schema("surface_id long, frame_id long, verdict string, position_id long").json(str(tmp_path / "index"))
+    assert sorted(map(str, back.drop("part").collect())) == sorted(map(str, frames.collect()))
+    assert back.groupBy("surface_id").agg(F.count_distinct("part").alias("n")).filter("n > 1").count() == 0
+
+
 def test_topology(spark):
     stages = P.load_topology(GOOD)
     assert [s.id for s in stages] == ["c", "p", "i", "d", "f", "r", "x"] and [s.policy for s in stages][:2] == ["drop_oldest", "block"]

@@ -104,11 +104,12 @@ def p4_drop_oldest(spark, sf_dir):
 
 @query(ALL + "SELECT surface_id, frame_id, verdict, position_id, count(*) OVER (PARTITION BY surface_id) AS total_frames FROM reasoned")
 def s13_review_index(spark, sf_dir):
-    """The index as files of a folder a surface, read again."""
+    """The index as files of a few folders, read again."""
     folder = shared_folder(spark, "review")
     tables.write_review_index(reasoned(spark, sf_dir), folder)
-    out = spark.read.schema("frame_id long, verdict string, position_id long, surface_id long").json(folder)
-    return out.join(out.groupBy("surface_id").agg(F.count(F.lit(1)).alias("total_frames")), "surface_id")
+    out = spark.read.schema("surface_id long, frame_id long, verdict string, position_id long").json(folder).drop("part")
+    sizes = out.groupBy(F.col("surface_id").alias("own")).agg(F.count(F.lit(1)).alias("total_frames"))
+    return out.join(sizes, F.col("surface_id").eqNullSafe(F.col("own"))).drop("own")
 
 
 @query(ALL + "SELECT surface_id, count(*) AS total_frames, min(frame_id) AS first, arg_min(verdict, frame_id) AS first_verdict FROM reasoned GROUP BY 1")
