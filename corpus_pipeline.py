@@ -36,8 +36,8 @@ def drop_near_copies(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataF
 
 
 def drop_leaks(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Documents that hold a benchmark item, word for word or as a paraphrase, go."""
-    return _without(docs, decontamination.find_leaks(_told_apart(docs), table(spark, sf_dir, "benchmark")))
+    """Documents that hold a benchmark item, word for word or as a paraphrase, go; the index is fitted on all passages."""
+    return _without(docs, decontamination.find_leaks(_told_apart(docs), table(spark, sf_dir, "benchmark"), max_fit_passages=None))
 
 
 def pack_sequences(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:

@@ -380,6 +380,27 @@ def test_bands_reach_the_recall():
 # --- pipeline -------------------------------------------------------------------------
 
 
+def test_leaks_of_the_pipeline_are_sought_by_an_index_fitted_on_all_passages(spark, sf, monkeypatch):
+    fitted, basis = [], decontamination.randomised_basis
+    monkeypatch.setattr(decontamination, "randomised_basis", lambda sample, *a: fitted.append(sample.count()) or basis(sample, *a))
+    docs = spark.range(24).select(F.col("id").alias("doc_id"), F.concat(F.lit("text "), F.col("id").cast("string"), F.repeat(F.lit(" the of a in"), 25_000)).alias("text"))
+    corpus_pipeline.drop_leaks(spark, docs, sf)
+    assert fitted == [24]
+
+
+def test_matrices_are_summed_over_all_tasks(spark):
+    vocabulary = {f"w{i}".encode(): i for i in range(150)}
+    rng = np.random.default_rng(5)
+    texts = [" ".join(f"w{i}" for i in rng.integers(0, 170, n)) for n in (1, 31, 32, 33, 500)]
+    a = np.zeros((0, 150))
+    for t in texts:
+        ids = [vocabulary.get(w, 150) for w in words.words(t)]
+        a = np.vstack([a, *[np.bincount(ids[k : k + 32], minlength=151)[None, :150] for k in range(0, len(ids), 32)]])
+    rows, m = spark.createDataFrame(list(enumerate(texts)), "doc_id long, body string").repartition(4), rng.standard_normal((150, 3))
+    assert np.allclose(decontamination._applied(rows, vocabulary, m, gram=False), a.T @ a @ m, rtol=1e-4, atol=1e-3)
+    assert np.allclose(decontamination._applied(rows, vocabulary, m, gram=True), m.T @ a.T @ a @ m, rtol=1e-4, atol=1e-3)
+
+
 def test_stages_hold_what_they_promise(spark, sf):
     docs = spark.read.parquet(f"{sf}/documents.parquet")
     columns, before = docs.columns, {r.doc_id: r for r in docs.collect()}
