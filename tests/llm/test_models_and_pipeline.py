@@ -104,6 +104,41 @@ def test_the_fit_is_a_maximum_of_the_likelihood():
     assert loss(b + 0.05, w) < best + 1e-6 and loss(b - 0.05, w) < best + 1e-6
 
 
+def test_the_fit_is_the_same_in_blocks_and_in_any_order(monkeypatch):
+    rng = np.random.default_rng(6)
+    n, features = 90, 8
+    sentences = rng.integers(0, 6, n)
+    sentences[[0, 40, 41, 89]] = 0
+    first = np.concatenate(([0], np.cumsum(sentences)[:-1]))
+    doc = np.sort(rng.choice(np.flatnonzero(sentences), 700))
+    doc = doc[doc % 7 > 0]  # some documents without any feature
+    sentence = first[doc] + rng.integers(0, sentences[doc])
+    order = np.lexsort((sentence, doc))
+    sentence, feature, y = sentence[order], rng.integers(0, features, len(doc)), (rng.random(n) < 0.4).astype(float)
+    b, w = toxicity.fit_noisy_or(y, sentences, doc, sentence, feature, features)
+    mixed = rng.permutation(len(doc))
+    for block, o in ((1, slice(None)), (17, slice(None)), (17, mixed), (1 << 16, mixed)):
+        monkeypatch.setattr(toxicity, "BLOCK", block)
+        b1, w1 = toxicity.fit_noisy_or(y, sentences, doc[o].astype(np.int32), sentence[o], feature[o].astype(np.int32), features)
+        assert abs(b - b1) < 1e-6 and np.abs(w - w1).max() < 1e-6
+
+
+def test_the_driver_holds_a_part_of_the_sample_at_a_time(spark):
+    """Occurrences of features by the hundred thousand, of which the driver had several copies."""
+    import tracemalloc
+
+    rows = [(d, f"vilex word{d % 9}. " * 1500 if d % 4 == 0 else f"plain word{d % 9}. " * 9) for d in range(1200)]
+    docs = spark.createDataFrame(rows, "doc_id long, text string").repartition(8)
+    labels = spark.createDataFrame([(d, int(d % 4 == 0)) for d, _ in rows], "doc_id long, toxic int")
+    tracemalloc.start()
+    try:
+        model = toxicity.fit(docs, labels)
+        peak = tracemalloc.get_traced_memory()[1]
+    finally:
+        tracemalloc.stop()
+    assert model.fitted and peak < 24e6, peak
+
+
 def test_folds_are_those_of_the_contract(spark):
     from zlib import crc32
 

@@ -12,8 +12,9 @@ is above ``LEAST_Z``, at most ``max_features`` of them, of the highest z. Nothin
 enters a score.
 
 Fitted on at most ``max_labelled`` labelled rows (a bounded sample, those of the least
-hash of ``doc_id``), which is what is broadcast; every document is scored, in one pass
-without a shuffle.
+hash of ``doc_id``), whose ids are what is broadcast; every document is scored, in one pass
+without a shuffle. The sample's features come to the driver a part at a time and lie in
+temporary files there, so that its memory doesn't grow with the length of texts.
 
 Defined cases: a null or empty text has no sentences and score 0; rows with a null
 ``doc_id`` are scored, and are not held out; several labels of one id count as the
@@ -23,6 +24,7 @@ table gives no rows; other columns are ignored.
 
 from __future__ import annotations
 
+import tempfile
 from collections.abc import Iterator
 from dataclasses import dataclass, field
 from zlib import crc32
@@ -36,6 +38,8 @@ from . import words
 from .common import small_batches
 
 MAX_LABELLED, MAX_FEATURES, BUCKETS, FOLDS = 20_000, 3_000, 1 << 22, 5
+#: Occurrences of features that a step of the fit has in memory at once; parts of the sample, which reach the driver one by one.
+BLOCK, SAMPLE_PARTS = 1 << 16, 32
 #: What a feature must have to be one: documents labelled 1 that it is in, and their surplus in standard deviations.
 LEAST_TOXIC, LEAST_Z = 3, 3
 SCORED = "doc_id long, held_out boolean, score double, predicted int, sentences int, offending array<struct<sentence:int,score:double>>"
@@ -73,35 +77,70 @@ class Model:
     fitted: bool = False
 
 
+def _in_order(doc: np.ndarray, sentence: np.ndarray) -> bool:
+    for i in range(0, len(doc), BLOCK):
+        d, s = np.diff(doc[i : i + BLOCK + 1]), np.diff(sentence[i : i + BLOCK + 1])
+        if ((d < 0) | (d == 0) & (s < 0)).any():
+            return False
+    return True
+
+
+def _blocks(doc: np.ndarray, n: int) -> list[tuple[int, int, int, int]]:
+    """First document and the one after the last, first occurrence and the one after the last: ``BLOCK`` occurrences or one document."""
+    ends = np.searchsorted(doc, np.arange(n + 1, dtype=doc.dtype))
+    found, d = [], 0
+    while d < n:
+        last = max(d + 1, int(np.searchsorted(ends, ends[d] + BLOCK, "right")) - 1)
+        found.append((d, last, int(ends[d]), int(ends[last])))
+        d = last
+    return found
+
+
 def fit_noisy_or(labels: np.ndarray, sentences: np.ndarray, doc: np.ndarray, sentence: np.ndarray, feature: np.ndarray, n_features: int, steps: int = 400, rate: float = 0.1, ridge: float = 1e-3) -> tuple[float, np.ndarray]:
     """Bias and weights that maximise the noisy-or likelihood of ``labels``.
 
     ``sentences``: how many each document has. The three arrays tell each occurrence of a
     feature: its document, its sentence (numbers of the whole sample), the feature.
     With z_s a sentence's logit, -log(1 - P) of a document is the sum of softplus(z_s).
+    Works on ``BLOCK`` occurrences at a time, whole documents, from a temporary file, so the three
+    arrays may be those of files too; they are sorted first unless they are by document and sentence.
     """
-    n_sent = int(sentence.max()) + 1 if len(sentence) else 0
-    owner = np.zeros(n_sent, np.int64)
-    owner[sentence] = doc
-    bare = sentences - np.bincount(owner, minlength=len(labels))  # sentences without any feature
+    if not _in_order(doc, sentence):
+        order = np.lexsort((sentence, doc))
+        doc, sentence, feature = doc[order], sentence[order], feature[order]
     theta = np.concatenate(([-6.0], np.full(n_features, 0.5)))
     m, v = np.zeros_like(theta), np.zeros_like(theta)
     y = labels.astype(float)
-    for t in range(1, steps + 1):
-        b, w = theta[0], theta[1:]
-        z = b + np.bincount(sentence, w[feature], minlength=n_sent)
-        soft, sig = np.logaddexp(0, z), 1 / (1 + np.exp(-z))
-        soft0, sig0 = np.logaddexp(0, b), 1 / (1 + np.exp(-b))
-        a = np.bincount(owner, soft, minlength=len(y)) + bare * soft0
-        slope = y / np.expm1(np.clip(a, 1e-9, 50)) - (1 - y)  # of the log likelihood by a
-        by_z = slope[owner] * sig
-        g = np.empty_like(theta)
-        g[0] = by_z.sum() + (slope * bare).sum() * sig0
-        g[1:] = np.bincount(feature, by_z[sentence], minlength=n_features)
-        g /= len(y)
-        g[1:] -= ridge * w
-        m, v = 0.9 * m + 0.1 * g, 0.999 * v + 0.001 * g * g
-        theta += rate * (m / (1 - 0.9**t)) / (np.sqrt(v / (1 - 0.999**t)) + 1e-8)
+    with tempfile.TemporaryFile() as kept:
+        bare, blocks = sentences.astype(np.int64), []  # bare: sentences without any feature
+        for d0, d1, i, j in _blocks(doc, len(labels)):
+            opens = np.ones(j - i, bool)
+            opens[1:] = (np.diff(sentence[i:j]) != 0) | (np.diff(doc[i:j]) != 0)
+            owner = doc[i:j][opens] - d0
+            bare[d0:d1] -= np.bincount(owner, minlength=d1 - d0)
+            for numbers in (feature[i:j], np.cumsum(opens) - 1, owner):
+                kept.write(numbers.astype(np.int64).tobytes())
+            blocks.append((slice(d0, d1), np.cumsum([j - i, j - i, len(owner)])))
+        numbers, begun = _mapped(kept, np.int64), 0
+        for k, (here, ends) in enumerate(blocks):  # of a block: each occurrence's feature and sentence, each sentence's document
+            blocks[k] = here, *np.split(numbers[begun : begun + ends[-1]], ends[:-1])
+            begun += ends[-1]
+        for t in range(1, steps + 1):
+            b, w = theta[0], theta[1:]
+            soft0, sig0 = np.logaddexp(0, b), 1 / (1 + np.exp(-b))
+            g = np.zeros_like(theta)
+            for here, which, own, owner in blocks:
+                z = b + np.bincount(own, w[which], minlength=len(owner))
+                soft, sig = np.logaddexp(0, z), 1 / (1 + np.exp(-z))
+                a = np.bincount(owner, soft, minlength=len(y[here])) + bare[here] * soft0
+                slope = y[here] / np.expm1(np.clip(a, 1e-9, 50)) - (1 - y[here])  # of the log likelihood by a
+                by_z = slope[owner] * sig
+                g[0] += by_z.sum() + (slope * bare[here]).sum() * sig0
+                g[1:] += np.bincount(which, by_z[own], minlength=n_features)
+            g /= len(y)
+            g[1:] -= ridge * w
+            m, v = 0.9 * m + 0.1 * g, 0.999 * v + 0.001 * g * g
+            theta += rate * (m / (1 - 0.9**t)) / (np.sqrt(v / (1 - 0.999**t)) + 1e-8)
     return float(theta[0]), theta[1:]
 
 
@@ -112,6 +151,12 @@ def _training(docs: DataFrame, labels: DataFrame, max_labelled: int) -> DataFram
     return docs.select(F.col("doc_id").cast("long").alias("label_id"), F.col("text").cast("string").alias("body")).join(F.broadcast(known), "label_id").select("label_id", "body", "label")
 
 
+def _mapped(file, dtype: str) -> np.ndarray:
+    """A file's numbers, read as they are asked for."""
+    file.flush()
+    return np.asarray(np.memmap(file, dtype, "r")) if file.tell() else np.zeros(0, dtype)
+
+
 def fit(docs: DataFrame, labels: DataFrame, *, max_labelled: int = MAX_LABELLED, max_features: int = MAX_FEATURES) -> Model:
     small_batches(docs.sparkSession)
     rows = _training(docs, labels, max_labelled)
@@ -157,19 +202,23 @@ def fit(docs: DataFrame, labels: DataFrame, *, max_labelled: int = MAX_LABELLED,
                             near[w] = own = [place[f] for f in features_of(w) if f in place]
                         at += [i] * len(own)
                         which += own
-                out.append((len(found), at, which))
+                out.append((len(found), np.array(at, "<i4").tobytes(), np.array(which, "<i4").tobytes()))
             cols = list(zip(*out)) or [[], [], []]
-            yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(2), pa.array(cols[0], pa.int32()), pa.array(cols[1], pa.list_(pa.int32())), pa.array(cols[2], pa.list_(pa.int32()))], ["label_id", "label", "n", "at", "which"])
-
-    sample = rows.mapInArrow(occurrences, "label_id long, label int, n int, at array<int>, which array<int>").toArrow()
-    sample = sample.sort_by([("label_id", "ascending"), ("n", "ascending")])
-    labels_, n = (sample.column(c).to_numpy() for c in ("label", "n"))
-    at, which = (sample.column(c).combine_chunks() for c in ("at", "which"))
-    doc = np.repeat(np.arange(len(n)), np.diff(at.offsets.to_numpy()))
-    local, feature = at.flatten().to_numpy().astype(np.int64), which.flatten().to_numpy().astype(np.int64)
-    first = np.concatenate(([0], np.cumsum(n)[:-1])) if len(n) else np.zeros(0, np.int64)
-    _, sentence = np.unique(first[doc] + local, return_inverse=True)
-    bias, w = fit_noisy_or((labels_ > 0).astype(float), n.astype(np.int64), doc, sentence, feature, len(best))
+            yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(2), pa.array(cols[0], pa.int32()), pa.array(cols[1], pa.binary()), pa.array(cols[2], pa.binary())], ["label_id", "label", "n", "at", "which"])
+
+    sample = rows.mapInArrow(occurrences, "label_id long, label int, n int, at binary, which binary")
+    sample = sample.repartition(SAMPLE_PARTS, "label_id").sortWithinPartitions("label_id", "n", "label", "at", "which")
+    labels_, n, so_far = [], [], 0
+    with tempfile.TemporaryFile() as doc, tempfile.TemporaryFile() as sentence, tempfile.TemporaryFile() as feature:
+        for r in sample.toLocalIterator():  # a part at a time
+            at = np.frombuffer(r.at, "<i4")
+            doc.write(np.full(len(at), len(n), np.int32).tobytes())
+            sentence.write((at.astype(np.int64) + so_far).tobytes())
+            feature.write(r.which)
+            labels_.append(r.label > 0)
+            n.append(r.n)
+            so_far += r.n
+        bias, w = fit_noisy_or(np.array(labels_, float), np.array(n, np.int64), _mapped(doc, "<i4"), _mapped(sentence, "<i8"), _mapped(feature, "<i4"), len(best))
     return Model(bias, {r.feature: float(x) for r, x in zip(best, w)}, True)
 
 
